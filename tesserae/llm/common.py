@@ -40,6 +40,11 @@ def discard(df: DataFrame) -> None:
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def let(value: Column, fn) -> Column:
+    """fn(value), value being computed once a row even where fn uses it inside a lambda."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def id_remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo modulus: the split into learning and held-out rows."""
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus
