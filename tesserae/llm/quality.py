@@ -164,7 +164,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     steps = 1 << 20
     share = F.create_map(*[x for k, n in sorted(sizes.items()) for x in (F.lit(k), F.lit(min(steps, max(1, steps * train_rows // n))))])
     few = own.where(F.pmod(F.xxhash64("_id", F.lit("quality")), F.lit(steps)) < share[F.col("_label")])
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text).cast("binary").alias("_text")).join(few, "_id")
+    # At most about train_rows ids of each class, whatever the input's size: they are sent to the documents, not the documents to them.
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text).cast("binary").alias("_text")).join(F.broadcast(few), "_id")
     got = rows.select(F.xxhash64("_id").alias("_h"), "_label", "_text").mapInArrow(_featurise, "h long, label int, found array<int>").toArrow()
     order = np.lexsort((got.column("label").to_numpy(), got.column("h").to_numpy()))
     found = got.column("found").combine_chunks()
