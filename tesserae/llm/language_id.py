@@ -23,7 +23,7 @@ ORDER = 3
 #: Learning reads at most about this many labelled documents a language, picked by a hash of doc_id.
 TRAIN_DOCS = 3000
 _START = b"\n" * ORDER
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
 _EVIDENCE = 1 / 16
 
 
@@ -113,10 +113,11 @@ class PpmModel:
                     out[a] += self.lengths(_grams(whole[i : i + _BLOCK + ORDER], ORDER + 1), ORDER).sum(axis=0, dtype=np.float64)
                 continue
             grams = [_grams(np.frombuffer(_START + t, np.uint8), ORDER + 1) for t in texts[a:b]]
-            bits = self.lengths(np.concatenate(grams), ORDER).astype(np.float64)
-            sums = np.concatenate([np.zeros((1, len(self.langs))), np.cumsum(bits, axis=0)])
-            ends = np.cumsum([len(g) for g in grams])
-            out[a:b] = sums[ends] - sums[ends - [len(g) for g in grams]]
+            bits = self.lengths(np.concatenate(grams), ORDER)
+            end = 0
+            for i, g in enumerate(grams):
+                out[a + i] = bits[end : end + len(g)].sum(axis=0, dtype=np.float64)
+                end += len(g)
         return out
 
 

@@ -8,13 +8,11 @@ from pyspark.sql import functions as F
 from . import chat, decontaminate, language_id, licenses, line_dedup, media, mixing, quality, simhash, token_counts
 from .common import id_remainder, table
 
-DOC_ID = F.col("doc_id")
-
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = language_id.train(docs.where(id_remainder(DOC_ID, 3) != 1))
-    held_out = F.coalesce(id_remainder(DOC_ID, 3) == 1, F.lit(False))
+    model = language_id.train(docs.where(id_remainder(F.col("doc_id"), 3) != 1))
+    held_out = F.coalesce(id_remainder(F.col("doc_id"), 3) == 1, F.lit(False))
     return language_id.predict(docs, model, ["doc_id"]).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
@@ -38,7 +36,7 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.train(docs, quality.learnable(table(spark, sf_dir, "labels")))
-    held_out = F.coalesce(id_remainder(DOC_ID, 5) == 0, F.lit(False))
+    held_out = F.coalesce(id_remainder(F.col("doc_id"), 5) == 0, F.lit(False))
     scored = quality.score(docs, model, ["doc_id"])
     return scored.select("doc_id", held_out.alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
