@@ -88,4 +88,29 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_chat_format, op3_simhash_near_dedup, op4_quality_classifier, op5_token_counts, op6_line_dedup, op7_source_mixing, op8_license_scan, op9_decontamination, op10_ogg_media, pipeline)}
 
 #: Queries that DuckDB can say; the others are tested against brute-force versions or by held-out accuracy.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_chat_format": r"""
+WITH c AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+p AS (
+  SELECT *, sum(24 + length(role) + length(text) + len(regexp_extract_all(text, '<\\*\|'))) OVER (PARTITION BY conv_id ORDER BY turn) AS upto,
+         role = 'assistant' OR turn = max(turn) OVER (PARTITION BY conv_id) AS is_end FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+       length(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), ''))::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       (sum(upto) FILTER (is_end))::BIGINT AS formatted_chars
+FROM p GROUP BY conv_id""",
+    "op7_source_mixing": r"""
+WITH s AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+b AS (SELECT source, sum(size)::BIGINT AS source_size FROM s GROUP BY source),
+w AS (SELECT *, 3.0::DOUBLE * source_size AS cap,
+             (CASE (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END)::DOUBLE AS weight FROM b),
+l AS (SELECT *, cap / weight AS ratio, (sum(source_size::DOUBLE) OVER () - coalesce(sum(cap) OVER o, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER o, 0)) AS level
+      FROM w WINDOW o AS (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, source_size, least(cap, coalesce((SELECT x.level FROM l x WHERE x.level <= x.ratio ORDER BY x.ratio, x.level LIMIT 1) * weight, cap)) AS target FROM l),
+r AS (SELECT doc_id, size, source_size, target, floor(target + 0.5)::BIGINT AS goal, CASE WHEN source_size > 0 THEN floor(target + 0.5)::BIGINT // source_size ELSE 0 END AS uses,
+             (sum(size) OVER (PARTITION BY s.source ORDER BY md5(doc_id::VARCHAR), doc_id ROWS UNBOUNDED PRECEDING))::BIGINT - size AS before
+      FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, (uses * size + greatest(0, least(size, goal - uses * source_size - before)))::BIGINT AS taken FROM r""",
+}
