@@ -267,6 +267,21 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(docs_of(spark, ODD), ["doc_id"]).count() == len(ODD)
 
 
+@pytest.mark.parametrize("crowd, short", [(1, 64), (2, 3)])
+def test_line_dedup_of_crowded_keys(spark, monkeypatch, crowd, short):
+    """Running numbers and edits of one line, at which every key is crowded; ties of first places."""
+    monkeypatch.setattr(line_dedup, "CROWD", crowd)
+    monkeypatch.setattr(line_dedup, "SHORT_PIECE", short)
+    rng, long = random.Random(7), "the very same line of words, ünlike its number "
+    numbers = [f"{long}{k}" for k in rng.sample(range(2000), 150)]
+    edits = [long[:k] + rng.choice(["", "Z", "ß" + long[k]]) + long[k + 1 :] for k in rng.choices(range(len(long)), k=60)]
+    lines = numbers + edits + [x + x for x in edits[:20]]
+    rng.shuffle(lines)
+    rows = [(i, "\n".join(lines[i * 10 : i * 10 + 10])) for i in range(len(lines) // 10)] + [(i, x) for i, x in zip([2, 2, 2, 9, 9], numbers[:5])]
+    out = line_dedup.dedup_lines(docs_of(spark, [(i, t, None, None) for i, t in rows]), ["doc_id"])
+    assert sorted(map(tuple, out.select("doc_id", "clean_text").collect())) == sorted(brute_lines(rows))
+
+
 def test_mixing(spark):
     rows = queries.op7_source_mixing(spark, SMALL).collect()
     source = {r["doc_id"]: (r["source"], r["text"]) for r in table(spark, SMALL, "documents").collect()}
