@@ -10,7 +10,8 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.errors import InvalidQuery, PlanError
+from tesserae.config import Settings
+from tesserae.errors import InvalidQuery, PlanError, Superseded
 from tesserae.functions import registry
 from tesserae.operators.transactor import Transactor, TxReport
 from tesserae.plans.ast import Aggregate, Pull, Query, RuleSet, Var
@@ -135,9 +136,9 @@ class WideDatabase:
 class Database:
     """A bitemporal database under a path."""
 
-    def __init__(self, spark: SparkSession, path: str, infer_schema: bool = True):
-        self.spark, self.store = spark, LogStore(spark, path)
-        self.transactor = Transactor(self.store, infer_schema)
+    def __init__(self, spark: SparkSession, path: str, settings: Settings = Settings()):
+        self.spark, self.store, self.settings = spark, LogStore(spark, path), settings
+        self.transactor = Transactor(self.store, settings.infer_schema)
 
     # Writing
 
@@ -153,7 +154,14 @@ class Database:
         if isinstance(facts, str):
             facts = parse_edn(facts)
         wire = facts if isinstance(facts, DataFrame) else wire_frame(self.spark, facts)
-        return self.transactor.transact(wire, self._now(now))
+        report = self.transactor.transact(wire, self._now(now))
+        m = self.store.manifest()
+        if 0 < self.settings.compact_after <= len(set(m.log) - set(m.covered)):
+            try:
+                self.compact()
+            except Superseded:
+                pass  # Another writer was faster; the transaction stands, and a later one compacts.
+        return report
 
     def transact_json(self, text: str, now: int | None = None) -> TxReport:
         facts, at = parse_json(text)

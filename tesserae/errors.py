@@ -35,3 +35,7 @@ class UniqueConstraintViolation(TesseraeError):
 
 class SerializationError(TesseraeError):
     """A transaction text or wire row can't be read."""
+
+
+class Superseded(TesseraeError):
+    """Another writer committed a manifest first."""

@@ -14,7 +14,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.errors import TesseraeError
+from tesserae.errors import Superseded
 from tesserae.operators.temporal import as_of, close_intervals, current
 
 from .schema import LOG_SCHEMA, MANY, Catalog
@@ -71,7 +71,7 @@ class LogStore:
         stream.close()
         if self._fs.exists(final) or not self._fs.rename(draft, final):
             self._fs.delete(draft, False)
-            raise TesseraeError("another transaction was committed meanwhile")
+            raise Superseded("another transaction was committed meanwhile")
         return new
 
     def write(self, datoms: DataFrame, kind: str) -> str:

@@ -5,8 +5,9 @@ import uuid
 
 import pytest
 
+from tesserae.config import Settings
 from tesserae.database import Database
-from tesserae.errors import CompareAndSwapFailed, InvalidQuery, ParseError, PlanError, TypeMismatch, UndefinedAttribute, UniqueConstraintViolation
+from tesserae.errors import CompareAndSwapFailed, InvalidQuery, ParseError, PlanError, SerializationError, TypeMismatch, UndefinedAttribute, UniqueConstraintViolation
 from tesserae.plans.parser import parse_query
 from tesserae.sources.edn import Fact
 from tesserae.sources.schema import MANY
@@ -150,7 +151,7 @@ def test_transactions(db):
     assert none.datoms_written == 0 and db.transact([Fact(9, ":user/tag", "x")], 600).tx_id == none.tx_id + 1
     db.transact([Fact(5, ":user/nick", "one"), Fact(5, ":user/nick", "two")], 700)
     assert values(db.query("[:find ?n :where [5 :user/nick ?n]]")) == [("two",)]
-    strict = Database(db.spark, db.store.path, infer_schema=False)
+    strict = Database(db.spark, db.store.path, Settings(infer_schema=False))
     with pytest.raises(UndefinedAttribute):
         strict.transact([Fact(1, ":user/unknown", 1)], 800)
 
@@ -168,3 +169,25 @@ def test_formats_and_texts(db):
     for bad in ("[:find ?e]", "[:find :where [?e :a ?b]]", "[:find ?e :where [?e]]", "[:find ?e :where [?e :a 99999999999999999999]]", "[:find ?e :where [?e :a \"x]]"):
         with pytest.raises(ParseError):
             parse_query(bad)
+
+
+def test_settings(spark, tmp_path):
+    assert Settings.load(str(tmp_path / "none.toml")) == Settings.for_profile("balanced")
+    (tmp_path / "own.toml").write_text('[database]\nprofile = "server"\ninfer_schema = false\n')
+    assert Settings.load(str(tmp_path / "own.toml")) == Settings(infer_schema=False, compact_after=0)
+    assert Settings.from_toml("") == Settings.for_profile("balanced")
+    for bad in ("[database", '[database]\nprofile = "huge"', "[database]\nspeed = 1", '[database]\ncompact_after = "2"'):
+        with pytest.raises(SerializationError):
+            Settings.from_toml(bad)
+
+
+def test_compacts_after_so_many_transactions(spark, tmp_path):
+    db = Database(spark, "file://" + str(tmp_path / "db"), Settings(compact_after=2))
+    folders = []
+    for i, name in enumerate(("a", "b", "c")):
+        db.transact([Fact(1, ":user/name", name)], 100 * (i + 1))
+        m = db.store.manifest()
+        folders.append((len(m.log), m.intervals is not None))
+    assert folders == [(1, False), (1, True), (2, True)]
+    assert values(db.query("[:find ?n :where [1 :user/name ?n]]")) == [("c",)]
+    assert values(db.query("[:find ?n :where [1 :user/name ?n]]", as_of=150)) == [("a",)]
