@@ -60,20 +60,23 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REP
     return by.withColumn("level", level).select("source", "tier", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def mix_plan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, max_repeats: int = MAX_REPEATS, schedules=SCHEDULES) -> DataFrame:
-    """One row for each row of docs: id_col, size, source_size, target, taken, and uses: (repeat, words, position) of each time the mix takes it.
+def mix_plan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, max_repeats: int = MAX_REPEATS, schedules=SCHEDULES, row_key: str | None = None) -> DataFrame:
+    """One row for each row of docs: id_col, row_key if given, size, source_size, target, taken, and uses: (repeat, words, position) of each time the mix takes it.
 
     A document is used whole each time, but for one document of a source, whose last use may stop short so that the source's words are its
     target to the word. Null texts have size 0; a document of size 0 takes part with no words and no use. A null source is a source
-    of its own. Repeated rows are mixed each by itself. Reruns agree: order depends on ids (null: last) and sizes alone.
+    of its own. Repeated rows are mixed each by itself. Reruns agree: order depends on ids (null: last) and sizes alone. With row_key, a column that tells
+    rows of one id apart, on it as well, and rows of null ids are dealt by it.
     """
-    counted = docs.select(F.col(id_col).alias("id"), F.col(source).cast("string").alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD_BREAK)), F.lit(0)).cast("long").alias("size"))
+    own = [F.col(row_key).alias("key")] if row_key else []
+    keys = ["key"] if row_key else []
+    counted = docs.select(F.col(id_col).alias("id"), *own, F.col(source).cast("string").alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD_BREAK)), F.lit(0)).cast("long").alias("size"))
     sizes = written(counted, "sizes")
     targets = written(source_targets(sizes, weights, max_repeats), "targets")
-    keyed = sizes.withColumn("h", F.coalesce(F.md5(F.col("id").cast("string").cast("binary")), F.lit("~"))).withColumn("bucket", F.substring("h", 1, BUCKET_DIGITS))
+    keyed = sizes.withColumn("h", F.coalesce(*[F.md5(F.col(c).cast("string").cast("binary")) for c in ["id", *keys]], F.lit("~"))).withColumn("bucket", F.substring("h", 1, BUCKET_DIGITS))
     sums = keyed.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     starts = sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), (F.sum("words").over(W.partitionBy("source").orderBy("bucket")) - F.col("words")).alias("start"))
-    inner = W.partitionBy("source", "bucket").orderBy("h", "id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
+    inner = W.partitionBy("source", "bucket").orderBy("h", "id", "size", *keys).rowsBetween(W.unboundedPreceding, W.currentRow)
     rows = keyed.withColumn("upto", F.sum("size").over(inner))
     rows = rows.join(starts, rows["source"].eqNullSafe(starts["s"]) & (rows["bucket"] == starts["b"])).drop("s", "b")
     targets = targets.withColumnRenamed("source", "t")
@@ -86,16 +89,18 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source
     done = lambda k: (k * F.col("source_size") + F.col("first") + F.when(k < F.col("full"), F.col("size")).otherwise(F.col("rest")) / 2) / F.greatest(F.col("goal"), F.lit(1))
     use = lambda k: F.struct(k.cast("int").alias("repeat"), F.when(k < F.col("full"), F.col("size")).otherwise(F.col("rest")).alias("words"), training_time(done(k), F.col("tier"), schedules).alias("position"))
     uses = F.filter(F.transform(F.sequence(F.lit(0).cast("long"), F.col("full")), use), lambda u: u["words"] > 0)
-    return rows.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("full") * F.col("size") + F.col("rest")).alias("taken"), uses.alias("uses"))
+    return rows.select(F.col("id").alias(id_col), *[F.col(c).alias(row_key) for c in keys], "size", "source_size", "target", (F.col("full") * F.col("size") + F.col("rest")).alias("taken"), uses.alias("uses"))
 
 
 def curriculum(docs: DataFrame, keep: list[str], id_col: str = "doc_id", **kinds) -> DataFrame:
     """The documents in training order: a row for each use, with the columns in keep, then repeat, words and position, range-sorted by position.
 
-    Ties in position go by id and repeat. docs must have one row an id.
+    Ties in position go by id, text hash and repeat. docs must have one row for each id and text; rows may share an id, or have none.
     """
-    plan = mix_plan(docs, id_col, **kinds).select(F.col(id_col).alias("_id"), F.explode("uses").alias("_use"))
-    rows = docs.select(*keep, F.col(id_col).alias("_own")).join(plan, F.col("_own").eqNullSafe(F.col("_id")))
-    rows = rows.select(*keep, "_id", F.col("_use.repeat").alias("repeat"), F.col("_use.words").alias("words"), F.col("_use.position").alias("position"))
-    order = ["position", "_id", "repeat"]
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("_id")
+    text = kinds.get("text", "text")
+    keyed = docs.withColumn("_key", F.xxhash64(text))
+    plan = mix_plan(keyed, id_col, row_key="_key", **kinds).select(F.col(id_col).alias("_id"), F.col("_key").alias("_its"), F.explode("uses").alias("_use"))
+    rows = keyed.select(*keep, F.col(id_col).alias("_own"), "_key").join(plan, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_its")))
+    rows = rows.select(*keep, "_id", "_key", F.col("_use.repeat").alias("repeat"), F.col("_use.words").alias("words"), F.col("_use.position").alias("position"))
+    order = ["position", "_id", "_key", "repeat"]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("_id", "_key")

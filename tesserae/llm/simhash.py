@@ -236,18 +236,26 @@ def links(prints: DataFrame) -> DataFrame:
     return near.union(more).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, fp (signed long) and component_id (the smallest id reachable by links, the row's own included) for each row of docs.
+def grouped(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The columns in keep, then fp (signed long), root and component_id for each row of docs. Rows of one root are one component, whatever their ids.
 
-    Null texts, empty ones and ones without words have fingerprint 0 and are linked like others. Rows with a null id take part; a component of
-    null ids only has a null component_id. Repeated rows give repeated rows. An empty table gives an empty table.
+    component_id is the smallest id reachable by links, the row's own included; a component of null ids only has a null one.
     """
-    own = written(fingerprints(docs, [id_col], text), "fingerprints")
+    own = written(fingerprints(docs, list(dict.fromkeys([*keep, id_col])), text), "fingerprints")
     prints = own.groupBy("fp").agg(F.min(id_col).alias("least"))
     prints = written(prints, "prints")
     reached = components(links(prints), "a", "b").withColumnRenamed("node", "fp")
     root = prints.join(reached, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     root = written(root, "roots")
     ids = root.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = root.join(ids, "root").select("fp", "component_id")
-    return own.join(named, "fp").select(id_col, "fp", "component_id")
+    named = root.join(ids, "root").select("fp", "root", "component_id")
+    return own.join(named, "fp").select(*keep, "fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, fp (signed long) and component_id (the smallest id reachable by links, the row's own included) for each row of docs.
+
+    Null texts, empty ones and ones without words have fingerprint 0 and are linked like others. Rows with a null id take part; a component of
+    null ids only has a null component_id. Repeated rows give repeated rows. An empty table gives an empty table.
+    """
+    return grouped(docs, [id_col], id_col, text).select(id_col, "fp", "component_id")
