@@ -4,7 +4,7 @@ import random
 
 import corpus_pipeline
 
-from .test_operators import SMALL, docs_of
+from .test_operators import SMALL, bits_of, docs_of
 
 RNG = random.Random(11)
 
@@ -24,3 +24,19 @@ def test_near_dedup_keeps_unlike_texts_of_one_id_and_of_null_ids(spark):
     mixed = corpus_pipeline.mix_sources(spark, spark.createDataFrame(kept.collect(), kept.schema), SMALL).collect()
     assert sorted(((r["doc_id"], r["text"], r["mix_repeat"]) for r in mixed), key=repr) == sorted(((i, t, 0) for i, t in want), key=repr)
     assert sum(r["mix_words"] for r in mixed) == 200
+
+
+def test_copies_with_short_lines_do_not_get_through_as_stumps(spark, tmp_path):
+    """Of exact and near copies with short lines one doc_id reaches run()'s result, whole; short lines that stand nowhere else stay."""
+    from tesserae.llm.common import table
+
+    lines = [prose(40) for _ in range(8)]
+    text = "\n".join([*lines[:4], "Short one.", *lines[4:]])
+    words = text.split(" ")
+    near = next(t for t in (" ".join([*words[:k], "replaced", *words[k + 1 :]]) for k in range(1, len(words))) if (bits_of(t) ^ bits_of(text)).bit_count() <= 4)
+    extract = "\n".join([lines[0], "A line of its own."])
+    rows = [(1, text), (2, text), (3, near), (4, extract), (5, prose(60)), (6, "\n".join(lines[:2]))]
+    docs_of(spark, [(i, t, "en", "s") for i, t in rows]).write.parquet(f"{tmp_path}/documents.parquet")
+    table(spark, SMALL, "benchmark").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert got == {1: text, 4: "A line of its own.", 5: rows[4][1]}
