@@ -1,8 +1,8 @@
 """Licence scans: text compared to licence templates by the Dice coefficient over word bigrams.
 
 Texts and templates are normalised to lower-case words of letters and digits. A template is sought as a whole text, and as a stretch of
-one: a stretch as long as the template. Sizes prune: sets of m and n bigrams reach a coefficient c only if each has at least c / (2 - c)
-times the other's, and at least c / 2 * (m + n) in common, so a text with fewer of a template's bigrams than that is not compared.
+one: from each start, the stretch of any length that sizes allow whose coefficient is best. Sizes prune: sets of m and n bigrams reach a coefficient c only if
+each has at least c / (2 - c) times the other's, and at least c / 2 * (m + n) in common, so a text with fewer of a template's bigrams than that is not compared.
 """
 
 from __future__ import annotations
@@ -69,8 +69,8 @@ class Templates:
         whole = None
         for k, own in hits.items():
             size, length = len(self.bigrams[k]), self.lengths[k]
-            # A stretch of the template's length has at most length - 1 bigrams; it needs this many in common at least.
-            if len(text_words) * (2 - self.dice) < self.dice * size or 2 * len(own) < self.dice * size:
+            # What is in common is part of the stretch, so a template's share of c / (2 - c) is needed at least.
+            if (2 - self.dice) * len({g for _, g in own}) < self.dice * size:
                 continue
             # The whole text, where the sizes allow it.
             if len(text_words) - 1 <= size * (2 - self.dice) / self.dice * 2:
@@ -79,19 +79,23 @@ class Templates:
                     c = 2 * len({g for _, g in own}) / (size + len(whole))
                     if c >= self.dice:
                         found.append((c, -length, 0, len(text_words), k))
-            j = 0
-            for i, (p, _) in enumerate(own):
-                j = max(j, i)
-                while j < len(own) and own[j][0] < p + length - 1:
-                    j += 1
-                common = len({g for _, g in own[i:j]})
-                if 2 * common < self.dice * size:
-                    continue
-                end = min(len(ids), p + length)
-                stretch = set(zip(text_words[p:end], text_words[p + 1 : end]))
-                c = 2 * common / (size + len(stretch))
-                if c >= self.dice:
-                    found.append((c, -length, p, end, k))
+            most, at = size * (2 - self.dice) / self.dice, dict(own)
+            for p, start in own:
+                # A stretch that meets its first bigram again is no better than the one from the template's next bigram on, so the end goes no further.
+                stretch, common, best, end = set(), set(), 0.0, p
+                for q in range(p, len(ids) - 1):
+                    if q > p and at.get(q) == start:
+                        break
+                    stretch.add((text_words[q], text_words[q + 1]))
+                    if len(stretch) > most:
+                        break
+                    if q in at:
+                        common.add(at[q])
+                        c = 2 * len(common) / (size + len(stretch))
+                        if c > best:
+                            best, end = c, q + 2
+                if best >= self.dice:
+                    found.append((best, -length, p, end, k))
         found.sort(key=lambda f: (-f[0], f[1], f[2], f[4]))
         out: list[tuple[str, float, int, int]] = []
         taken: list[tuple[int, int]] = []

@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from tesserae.llm import licenses
 
 from .test_operators import SMALL, bits_of, docs_of
 
@@ -40,3 +41,26 @@ def test_copies_with_short_lines_do_not_get_through_as_stumps(spark, tmp_path):
     table(spark, SMALL, "benchmark").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = {r["doc_id"]: r["text"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert got == {1: text, 4: "A line of its own.", 5: rows[4][1]}
+
+
+def test_license_stretches_longer_and_shorter_than_the_template():
+    """Words put into or left out of a grant in a long text: the best stretch by brute force is found."""
+    grant = licenses.TEMPLATES[2][1].split()
+    sought = licenses.Templates([licenses.TEMPLATES[2]], licenses.DICE)
+    around = [prose(300).split() for _ in range(2)]
+
+    def grams(w):
+        return set(zip(w, w[1:]))
+
+    for block in (0, 5, 15, 20, 25, -8, -15):
+        inner = grant[:33] + prose(block).split() + grant[33:] if block >= 0 else grant[:33] + grant[33 - block :]
+        text = licenses.words(" ".join(around[0] + inner + around[1]).encode())
+        own = grams(licenses.words(" ".join(grant).encode()))
+        first, last = 300 - 2, 300 + len(inner) + 12
+        best = max(2 * len(own & grams(text[a:b])) / (len(own) + len(grams(text[a:b]))) for a in range(first, first + 6) for b in range(last - 40, last))
+        assert best >= licenses.DICE
+        got = sought.matches(text)
+        assert len(got) == 1 and got[0][0] == "MIT" and abs(got[0][1] - best) < 1e-12 and got[0][2] == 300, block
+    # Repeated words: the stretch that ends a text, and one start after another.
+    words = licenses.words(b"licensed under licensed under " * 4000)
+    assert licenses.Templates([("X", "licensed under the terms of X")], licenses.DICE).matches(words) == []
