@@ -1,14 +1,51 @@
-"""What the operators of this subpackage share: written intermediate tables, hashing splits, byte batches."""
+"""What the operators of this subpackage share: written intermediate tables, columns handed through, hashing splits, byte batches."""
 
 from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tesserae.shared import discard, shared_dir, written  # noqa: F401
+from tesserae.shared import discard, shared_dir, stored_bytes, written  # noqa: F401
 
 WORD_BREAK = r"[^\x20\x09-\x0D]+"
+#: A written table of up to this many bytes on disk may be broadcast.
+BROADCAST_BYTES = 8 << 20
+
+
+class Kept:
+    """Columns that an operator hands through, packed as the struct `kept`, so that no name of theirs clashes with one of the operator's.
+
+    A kept column whose name the operator itself returns (made) gives way to the operator's.
+    """
+
+    def __init__(self, docs: DataFrame, keep: list[str], made: list[str]):
+        taken = {m.lower() for m in made}
+        self.names = [c for c in dict.fromkeys(keep) if c.lower() not in taken]
+        own = [F.col("`" + c.replace("`", "``") + "`") for c in self.names] or [F.lit(True)]
+        self.column: Column = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(own)]).alias("kept")
+        self.field = T.StructField("kept", docs.select(self.column).schema["kept"].dataType)
+        self.made = made
+
+    def schema(self, ddl: str) -> T.StructType:
+        """The struct's field and those of a DDL string."""
+        return T.StructType([self.field, *T.StructType.fromDDL(ddl).fields])
+
+    def out(self, df: DataFrame) -> DataFrame:
+        """The kept columns by their names, then the operator's."""
+        return df.select(*[F.col(f"kept.k{i}").alias(c) for i, c in enumerate(self.names)], *self.made)
+
+
+def content_key(*columns: Column) -> tuple[Column, Column]:
+    """128 bits of hash of some columns (nulls are values): rows of equal content have equal keys, and no null among them."""
+    marked = [x for c in columns for x in (c.isNull(), c)]
+    return F.xxhash64(F.lit(1), *marked), F.xxhash64(F.lit(2), *marked)
+
+
+def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A written table, marked for broadcast if it is small on disk; else Spark joins it by shuffle."""
+    return F.broadcast(df) if stored_bytes(df) <= limit else df
 
 
 def let(value: Column, fn) -> Column:
