@@ -1,9 +1,11 @@
 """Mixing sources to target weights along a time-varying curriculum.
 
 Each source has a weight and a schedule: how its share of the training stream changes over training time 0 to 1. Targets are
-shared out by weight with a cap on repeats. Within a source, documents stand in the order of a hash of their id; the words before a
-document say how much of the source's cumulative demand is met when it is due, and inverting the integrated schedule
-gives its training time. Documents are then range-sorted by that time.
+shared out by weight with a cap on repeats. A source's demand up to a time is its target times its integrated schedule; the sum over all sources is the
+cumulative token demand, which turns times into training positions, counted in tokens from 0 to all that the mix takes. Within a source, documents stand in the order of a
+hash, again and again until the demand is met; the words before a use of a document, put into the inverse of its source's demand, give the time it is due, and
+the cumulative demand at that time is its position. Uses that no time demands have no position and are not taken. Documents are then range-sorted by position, so about
+every position the sources' words are in proportion to their demands at its time.
 
 Only sums by (source, hash bucket) are gathered, so no task holds a source and a source with a third of all rows is dealt over all tasks.
 """
@@ -14,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD_BREAK, written
+from .common import WORD_BREAK, Kept, content_key, discard, maybe_broadcast, written
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -24,29 +26,59 @@ SCHEDULES = (((0.0, 1.25), (1.0, 0.75)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.25),
 BUCKET_DIGITS = 3
 
 
-def _segments(knots) -> Column:
-    """The schedule as segments of time: start, length, weight at start and end, and the integral up to the start, the whole integral being 1."""
+def segments(knots) -> list[tuple[float, float, float, float, float]]:
+    """A schedule as segments of time: start, length, weight at start and end, and the integral up to the start, the whole integral being 1."""
     whole = sum((b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in zip(knots, knots[1:]))
     out, done = [], 0.0
     for (t0, w0), (t1, w1) in zip(knots, knots[1:]):
-        out.append(F.struct(F.lit(float(t0)).alias("t"), F.lit(float(t1 - t0)).alias("d"), F.lit(w0 / whole).alias("a"), F.lit(w1 / whole).alias("b"), F.lit(done).alias("c")))
+        out.append((float(t0), float(t1 - t0), w0 / whole, w1 / whole, done))
         done += (t1 - t0) * (w0 + w1) / 2 / whole
-    return F.array(*out)
+    return out
+
+
+def integral(time: Column, knots) -> Column:
+    """The integrated schedule up to a time."""
+    out = None
+    for t, d, a, b, c in reversed(segments(knots)):
+        x = time - t
+        own = F.lit(c) + x * (F.lit(a) + x * ((b - a) / d) / 2)
+        out = own if out is None else F.when(time < t + d, own).otherwise(out)
+    return out
+
+
+def _inverse(share: Column, knots) -> Column:
+    out = None
+    for t, d, a, b, c in reversed(segments(knots)):
+        left = F.greatest(share - c, F.lit(0.0))
+        # The root of a x + (b - a) / d x^2 / 2 = left, in a form without loss of digits.
+        root = F.lit(t) + F.least(F.lit(d), 2 * left / F.greatest(F.lit(a) + F.sqrt(F.greatest(F.lit(a * a) + 2 * ((b - a) / d) * left, F.lit(0.0))), F.lit(1e-300)))
+        end = c + d * (a + b) / 2
+        out = root if out is None else F.when(share < end, root).otherwise(out)
+    return F.least(F.lit(1.0), out)
 
 
 def training_time(share: Column, tier: Column, schedules=SCHEDULES) -> Column:
     """The time at which a source of this tier (index of its schedule) has met this share of its demand: the inverse of its integrated schedule."""
-    own = F.element_at(F.array(*[_segments(k) for k in schedules]), tier + 1)
-    s = F.element_at(F.filter(own, lambda x: (x["c"] <= share) | (x["t"] == 0)), -1)
-    left = F.greatest(share - s["c"], F.lit(0.0))
-    return F.least(F.lit(1.0), s["t"] + F.least(s["d"], 2 * left / F.greatest(s["a"] + F.sqrt(F.greatest(s["a"] * s["a"] + 2 * (s["b"] - s["a"]) / s["d"] * left, F.lit(0.0))), F.lit(1e-300))))
+    out = _inverse(share, schedules[-1])
+    for k in reversed(range(len(schedules) - 1)):
+        out = F.when(tier == k, _inverse(share, schedules[k])).otherwise(out)
+    return out
+
+
+def token_position(time: Column, demands: list[Column], schedules=SCHEDULES) -> Column:
+    """Cumulative token demand over all sources up to a time; demands: the sum of the targets of each tier."""
+    out = None
+    for d, knots in zip(demands, schedules):
+        own = d * integral(time, knots)
+        out = own if out is None else out + own
+    return out
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """From (source, size): source, tier, source_size, target. Sources by code point, null last, take the weights in turn.
+    """From (source, size): source, tier, source_size, target, and goal, the target in whole words; sources are rows of a table of their own, a few bytes each.
 
-    Targets share all sizes by weight; one over max_repeats times its source's size stops there, and the excess is shared by weight again until none
-    is above. That is one level for all: target = min(cap, level * weight), found by going through the sources by cap / weight.
+    Sources by code point, null last, take the weights in turn. Targets share all sizes by weight; one over max_repeats times its source's size stops there, and the excess
+    is shared by weight again until none is above. That is one level for all: target = min(cap, level * weight), found by going through the sources by cap / weight.
     """
     by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     rank = F.row_number().over(W.orderBy(F.col("source").isNull(), "source")) - 1
@@ -57,50 +89,67 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REP
     every = W.orderBy("ratio", F.col("source").isNull(), "source").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     by = by.withColumn("level", (F.sum(F.col("source_size").cast("double")).over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))))
     level = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "level"))).over(every)["level"]
-    return by.withColumn("level", level).select("source", "tier", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
+    target = F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap")))
+    return by.withColumn("level", level).select("source", "tier", "source_size", target.alias("target")).withColumn("goal", F.floor(F.col("target") + 0.5))
+
+
+def _source_key(source: Column) -> Column:
+    """The source as a text that is never null, so that joins on it are plain."""
+    return F.coalesce(F.concat(F.lit("="), source), F.lit("null"))
 
 
-def mix_plan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, max_repeats: int = MAX_REPEATS, schedules=SCHEDULES, row_key: str | None = None) -> DataFrame:
-    """One row for each row of docs: id_col, row_key if given, size, source_size, target, taken, and uses: (repeat, words, position) of each time the mix takes it.
+def mix_plan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, max_repeats: int = MAX_REPEATS, schedules=SCHEDULES) -> DataFrame:
+    """One row for each row of docs: id_col, k1 and k2 (128 bits of hash of id and text), size, source_size, target, uses, taken, position and last_position.
 
-    A document is used whole each time, but for one document of a source, whose last use may stop short so that the source's words are its
-    target to the word. Null texts have size 0; a document of size 0 takes part with no words and no use. A null source is a source
-    of its own. Repeated rows are mixed each by itself. Reruns agree: order depends on ids (null: last) and sizes alone. With row_key, a column that tells
-    rows of one id apart, on it as well, and rows of null ids are dealt by it.
+    uses: (repeat, words, position, end) of each time the mix takes the document, position and end being the training positions of its first word and of the one after its
+    last; taken is the words of all uses, position that of the first use and last_position the end of the last (null without a use). A document is used whole each time,
+    but for one use in a source, which stops short so that the source's words are its target to the word. Null texts have size 0; a document of size 0 takes part with no words and
+    no use. A null source is a source of its own. Repeated rows are mixed each by itself. Reruns agree: order depends on ids and texts alone, and rows that share an id, or
+    have none, are ordered by their texts. An empty table gives an empty one.
     """
-    own = [F.col(row_key).alias("key")] if row_key else []
-    keys = ["key"] if row_key else []
-    counted = docs.select(F.col(id_col).alias("id"), *own, F.col(source).cast("string").alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD_BREAK)), F.lit(0)).cast("long").alias("size"))
-    sizes = written(counted, "sizes")
+    k1, k2 = content_key(F.col(id_col), F.col(text))
+    h = F.md5(F.concat_ws("\n", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit(""))).cast("binary"))
+    size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD_BREAK)), F.lit(0)).cast("long")
+    sizes = written(docs.select(F.col(id_col).alias("id"), k1.alias("k1"), k2.alias("k2"), h.alias("h"), F.col(source).cast("string").alias("source"), size.alias("size")), "sizes")
     targets = written(source_targets(sizes, weights, max_repeats), "targets")
-    keyed = sizes.withColumn("h", F.coalesce(*[F.md5(F.col(c).cast("string").cast("binary")) for c in ["id", *keys]], F.lit("~"))).withColumn("bucket", F.substring("h", 1, BUCKET_DIGITS))
-    sums = keyed.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-    starts = sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), (F.sum("words").over(W.partitionBy("source").orderBy("bucket")) - F.col("words")).alias("start"))
-    inner = W.partitionBy("source", "bucket").orderBy("h", "id", "size", *keys).rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = keyed.withColumn("upto", F.sum("size").over(inner))
-    rows = rows.join(starts, rows["source"].eqNullSafe(starts["s"]) & (rows["bucket"] == starts["b"])).drop("s", "b")
-    targets = targets.withColumnRenamed("source", "t")
-    rows = rows.join(targets, rows["source"].eqNullSafe(targets["t"])).drop("t")
-    goal = F.floor(F.col("target") + 0.5)
-    rows = rows.withColumn("goal", goal).withColumn("first", F.col("start") + F.col("upto") - F.col("size"))
-    rows = rows.withColumn("full", F.when(F.col("source_size") > 0, F.floor(F.col("goal") / F.greatest(F.col("source_size"), F.lit(1)))).otherwise(0))
-    rest = F.greatest(F.lit(0), F.least(F.col("size"), F.col("goal") - F.col("full") * F.col("source_size") - F.col("first")))
-    rows = rows.withColumn("rest", rest.cast("long"))
-    done = lambda k: (k * F.col("source_size") + F.col("first") + F.when(k < F.col("full"), F.col("size")).otherwise(F.col("rest")) / 2) / F.greatest(F.col("goal"), F.lit(1))
-    use = lambda k: F.struct(k.cast("int").alias("repeat"), F.when(k < F.col("full"), F.col("size")).otherwise(F.col("rest")).alias("words"), training_time(done(k), F.col("tier"), schedules).alias("position"))
-    uses = F.filter(F.transform(F.sequence(F.lit(0).cast("long"), F.col("full")), use), lambda u: u["words"] > 0)
-    return rows.select(F.col("id").alias(id_col), *[F.col(c).alias(row_key) for c in keys], "size", "source_size", "target", (F.col("full") * F.col("size") + F.col("rest")).alias("taken"), uses.alias("uses"))
-
-
-def curriculum(docs: DataFrame, keep: list[str], id_col: str = "doc_id", **kinds) -> DataFrame:
+    keyed = sizes.withColumn("s", _source_key(F.col("source"))).withColumn("bucket", F.substring("h", 1, BUCKET_DIGITS)).drop("source")
+    sums = keyed.groupBy("s", "bucket").agg(F.sum("size").alias("words"))
+    starts = sums.withColumn("start", F.sum("words").over(W.partitionBy("s").orderBy("bucket")) - F.col("words")).drop("words")
+    own = targets.withColumn("s", _source_key(F.col("source"))).drop("source")
+    starts = written(starts.join(maybe_broadcast(own), "s"), "starts")
+    tiers = targets.agg(*[F.coalesce(F.sum(F.when(F.col("tier") == k, F.col("goal"))), F.lit(0)).cast("double").alias(f"d{k}") for k in range(len(schedules))]).first()
+    discard(targets)
+    demands = [F.lit(x) for x in tiers]
+    inner = W.partitionBy("s", "bucket").orderBy("h", "id", "size", "k1", "k2").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = keyed.withColumn("upto", F.sum("size").over(inner)).join(maybe_broadcast(starts), ["s", "bucket"])
+    rows = rows.withColumn("first", F.col("start") + F.col("upto") - F.col("size"))
+    # A source's stream repeats its documents; a use begins where its demand is not yet met, if it has a position at all.
+    passes = F.when(F.col("source_size") > 0, F.ceil(F.col("goal") / F.greatest(F.col("source_size"), F.lit(1)))).otherwise(0)
+    rows = rows.withColumn("at", F.when((F.col("size") > 0) & (passes > 0), F.transform(F.sequence(F.lit(0).cast("long"), passes.cast("long") - 1), lambda k: k * F.col("source_size") + F.col("first"))).otherwise(F.array().cast("array<bigint>")))
+    rows = rows.withColumn("at", F.filter("at", lambda x: x < F.col("goal")))
+    where = lambda x: token_position(training_time(x / F.col("goal"), F.col("tier"), schedules), demands, schedules)
+    use = lambda x, k: F.struct(k.alias("repeat"), F.least(F.col("size"), F.col("goal") - x).alias("words"), where(x).alias("position"), where(F.least(x + F.col("size"), F.col("goal"))).alias("end"))
+    rows = rows.withColumn("uses", F.transform("at", use))
+    taken = F.aggregate("uses", F.lit(0).cast("long"), lambda n, u: n + u["words"])
+    return rows.select(F.col("id").alias(id_col), "k1", "k2", "size", "source_size", "target", taken.alias("taken"), F.get("uses", F.lit(0))["position"].alias("position"), F.get("uses", F.size("uses") - 1)["end"].alias("last_position"), "uses")
+
+
+def curriculum(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text: str = "text", **kinds) -> DataFrame:
     """The documents in training order: a row for each use, with the columns in keep, then repeat, words and position, range-sorted by position.
 
-    Ties in position go by id, text hash and repeat. docs must have one row for each id and text; rows may share an id, or have none.
+    Ties in position go by a hash of id and text, and repeat. Rows that repeat an id and a text are uses each; what else is kept of them is that of one of the rows. An empty table
+    gives no rows. A kept column named like one of the results gives way to it.
     """
-    text = kinds.get("text", "text")
-    keyed = docs.withColumn("_key", F.xxhash64(text))
-    plan = mix_plan(keyed, id_col, row_key="_key", **kinds).select(F.col(id_col).alias("_id"), F.col("_key").alias("_its"), F.explode("uses").alias("_use"))
-    rows = keyed.select(*keep, F.col(id_col).alias("_own"), "_key").join(plan, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_its")))
-    rows = rows.select(*keep, "_id", "_key", F.col("_use.repeat").alias("repeat"), F.col("_use.words").alias("words"), F.col("_use.position").alias("position"))
-    order = ["position", "_id", "_key", "repeat"]
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("_id", "_key")
+    kept = Kept(docs, keep, ["repeat", "words", "position"])
+    plan = mix_plan(docs, id_col, text, **kinds).where(F.size("uses") > 0).groupBy("k1", "k2").agg(F.flatten(F.collect_list("uses")).alias("uses"))
+    k1, k2 = content_key(F.col(id_col), F.col(text))
+    own = docs.select(kept.column, k1.alias("k1"), k2.alias("k2"))
+    often = written(own.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k1", "k2"), "repeated")
+    if not often.isEmpty():
+        # Only rows that repeat are gathered, to be one.
+        one = own.join(often, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.min_by("kept", F.xxhash64("kept")).alias("kept"))
+        own = own.join(often, ["k1", "k2"], "left_anti").unionByName(one)
+    rows = own.join(plan, ["k1", "k2"]).select("kept", "k1", "k2", F.explode("uses").alias("use"))
+    order = ["position", "k1", "k2", "repeat"]
+    rows = rows.select("kept", "k1", "k2", "use.repeat", "use.words", "use.position")
+    return kept.out(rows.repartitionByRange(*order).sortWithinPartitions(*order))

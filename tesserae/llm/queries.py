@@ -42,8 +42,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Range-sorted by training position; documents that the mix doesn't take come last."""
     plan = mixing.mix_plan(table(spark, sf_dir, "documents"))
-    return plan.select("doc_id", "size", "source_size", "target", "taken")
+    order = [F.col("position").asc_nulls_last(), F.col("doc_id")]
+    return plan.select("doc_id", "size", "source_size", "target", "taken", "position", "last_position").repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,15 +104,30 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        (sum(upto) FILTER (is_end))::BIGINT AS formatted_chars
 FROM p GROUP BY conv_id""",
     "op7_source_mixing": r"""
-WITH s AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+WITH s AS (SELECT doc_id, text, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
 b AS (SELECT source, sum(size)::BIGINT AS source_size FROM s GROUP BY source),
-w AS (SELECT *, 3.0::DOUBLE * source_size AS cap,
+w AS (SELECT *, 3.0::DOUBLE * source_size AS cap, (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 AS tier,
              (CASE (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END)::DOUBLE AS weight FROM b),
 l AS (SELECT *, cap / weight AS ratio, (sum(source_size::DOUBLE) OVER () - coalesce(sum(cap) OVER o, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER o, 0)) AS level
       FROM w WINDOW o AS (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-t AS (SELECT source, source_size, least(cap, coalesce((SELECT x.level FROM l x WHERE x.level <= x.ratio ORDER BY x.ratio, x.level LIMIT 1) * weight, cap)) AS target FROM l),
-r AS (SELECT doc_id, size, source_size, target, floor(target + 0.5)::BIGINT AS goal, CASE WHEN source_size > 0 THEN floor(target + 0.5)::BIGINT // source_size ELSE 0 END AS uses,
-             (sum(size) OVER (PARTITION BY s.source ORDER BY md5(doc_id::VARCHAR), doc_id ROWS UNBOUNDED PRECEDING))::BIGINT - size AS before
-      FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, (uses * size + greatest(0, least(size, goal - uses * source_size - before)))::BIGINT AS taken FROM r""",
+t AS (SELECT source, source_size, tier, least(cap, coalesce((SELECT x.level FROM l x WHERE x.level <= x.ratio ORDER BY x.ratio, x.level LIMIT 1) * weight, cap)) AS target FROM l),
+g AS (SELECT *, floor(target + 0.5)::BIGINT AS goal FROM t),
+d AS (SELECT coalesce(sum(goal) FILTER (tier = 0), 0)::DOUBLE AS d0, coalesce(sum(goal) FILTER (tier = 1), 0)::DOUBLE AS d1, coalesce(sum(goal) FILTER (tier = 2), 0)::DOUBLE AS d2 FROM g),
+r AS (SELECT doc_id, size, source_size, target, goal, tier,
+             (sum(size) OVER (PARTITION BY s.source ORDER BY md5(coalesce(doc_id::VARCHAR, '') || chr(10) || coalesce(text, '')), doc_id ROWS UNBOUNDED PRECEDING))::BIGINT - size AS first
+      FROM s JOIN g ON s.source IS NOT DISTINCT FROM g.source),
+u AS (SELECT *, CASE WHEN size > 0 AND goal > first THEN (goal - first - 1) // source_size + 1 ELSE 0 END AS n FROM r),
+c AS (SELECT *, CASE WHEN n > 0 THEN n * size - greatest(0, (n - 1) * source_size + first + size - goal) ELSE 0 END AS taken,
+             CASE WHEN n > 0 THEN first::DOUBLE / goal END AS c0, CASE WHEN n > 0 THEN least((n - 1) * source_size + first + size, goal)::DOUBLE / goal END AS c1 FROM u),
+e AS (SELECT *, unnest([0, 1]) AS k, unnest([c0, c1]) AS c FROM c),
+-- The inverse of each schedule: its knots' integral up to c, then the root in the segment.
+i AS (SELECT *, least(1.0::DOUBLE, CASE tier
+    WHEN 0 THEN 0.0::DOUBLE + least(1.0::DOUBLE, 2 * c / (1.25::DOUBLE + sqrt(1.5625::DOUBLE + 2 * -0.5::DOUBLE * c)))
+    WHEN 1 THEN 0.0::DOUBLE + least(1.0::DOUBLE, 2 * c / (1.0::DOUBLE + sqrt(1.0::DOUBLE)))
+    ELSE CASE WHEN c < 0.25 THEN 0.0::DOUBLE + least(0.5::DOUBLE, 2 * c / (0.25::DOUBLE + sqrt(0.0625::DOUBLE + 2 * 1.0::DOUBLE * c)))
+         ELSE 0.5::DOUBLE + least(0.5::DOUBLE, 2 * (c - 0.25) / (0.75::DOUBLE + sqrt(0.5625::DOUBLE + 2 * 3.0::DOUBLE * (c - 0.25)))) END END) AS t FROM e),
+p AS (SELECT i.*, d0 * (t * (1.25::DOUBLE + t * -0.5::DOUBLE / 2)) + d1 * t
+                  + d2 * (CASE WHEN t < 0.5 THEN t * (0.25::DOUBLE + t * 1.0::DOUBLE / 2) ELSE 0.25::DOUBLE + (t - 0.5) * (0.75::DOUBLE + (t - 0.5) * 3.0::DOUBLE / 2) END) AS x FROM i, d)
+SELECT a.doc_id, a.size, a.source_size, a.target, a.taken::BIGINT AS taken, CASE WHEN a.n > 0 THEN a.x END AS position, CASE WHEN a.n > 0 THEN b.x END AS last_position
+FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.k = 0 AND b.k = 1""",
 }
