@@ -14,12 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_remainder
+from .common import Kept, id_remainder
 
 BITS = 17
 #: Learning reads at most about this many labelled rows of each class, picked by a hash of doc_id.
 TRAIN_ROWS = 6000
 THRESHOLD = 0.3
+#: Bytes of a text that are read at a time.
 _PIECE = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -33,46 +34,78 @@ def _bucket(h: np.ndarray, kind: int) -> np.ndarray:
     return (((h + np.uint64(kind)) * _MIX) >> np.uint64(64 - BITS)).astype(np.int32)
 
 
-def _mark(flags: np.ndarray, b: np.ndarray) -> None:
-    if len(b) >= 3:
-        w = b.astype(np.uint64)
-        flags[_bucket((w[:-2] << np.uint64(16)) | (w[1:-1] << np.uint64(8)) | w[2:], 1)] = True
+_POWER = np.cumprod(np.full(64, 0x100000001B3, np.uint64))
+
+
+def _words(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each word of some bytes: a hash, its shape (classes of its first, second and last byte), its length (to 15), and where it ends. A word's bytes beyond the 64th weigh alike."""
     gap = _SPACE[b]
     inside = ~gap
     start = np.flatnonzero(inside & np.concatenate([[True], gap[:-1]]))
     if not len(start):
-        return
+        return (np.zeros(0, np.uint64),) * 3 + (start,)
     end = np.flatnonzero(inside & np.concatenate([gap[1:], [True]])) + 1
-    place = (np.arange(len(b)) - np.repeat(start, np.diff(np.append(start, len(b))))[-len(b) :]) if start[0] == 0 else None
-    if place is None:
-        place = np.concatenate([np.zeros(start[0], np.int64), np.arange(start[0], len(b)) - np.repeat(start, np.diff(np.append(start, len(b))))])
+    place = np.arange(len(b))
+    place[start[0] :] -= np.repeat(start, np.diff(np.append(start, len(b))))
     term = (b.astype(np.uint64) + np.uint64(1)) * _POWER[np.minimum(place, len(_POWER) - 1)]
     term[gap] = 0
-    word = np.add.reduceat(term, start)
-    flags[_bucket(word, 2)] = True
-    size = np.minimum(end - start, 15).astype(np.uint64)
     shape = (_CLASS[b[start]] * np.uint64(5) + _CLASS[b[np.minimum(start + 1, end - 1)]]) * np.uint64(5) + _CLASS[b[end - 1]]
-    flags[_bucket(shape * np.uint64(16) + size, 3)] = True
-    if len(word) > 1:
-        same = (word[1:] == word[:-1]).astype(np.uint64)
-        flags[_bucket((shape[:-1] * np.uint64(125) + shape[1:]) * np.uint64(2) + same, 4)] = True
+    return np.add.reduceat(term, start), shape, np.minimum(end - start, 15).astype(np.uint64), end
 
 
-_POWER = np.cumprod(np.full(64, 0x100000001B3, np.uint64))
-
+def features(text: bytes | None, flags: np.ndarray, piece: int = _PIECE) -> np.ndarray:
+    """Sorted buckets of the whole text's n-grams. flags: 2**BITS falses, left so.
 
-def features(text: bytes | None, flags: np.ndarray) -> np.ndarray:
-    """Sorted buckets of the whole text's n-grams. flags: 2**BITS falses, left so."""
+    Long texts are read in pieces that end behind a word, a longer word making its piece longer; the last two bytes and the last word go along to the next, so the pieces don't show.
+    """
     if not text:
         return np.zeros(0, np.int64)
-    b = np.frombuffer(text, np.uint8)
-    for i in range(0, len(b), _PIECE):
-        _mark(flags, b[max(0, i - 2) : i + _PIECE])
+    whole, at, last = np.frombuffer(text, np.uint8), 0, None
+    while at < len(whole):
+        end = min(len(whole), at + piece)
+        while end < len(whole) and not _SPACE[whole[end]]:
+            step = _SPACE[whole[end : end + 4096]]
+            end += int(step.argmax()) if step.any() else len(step)
+        w = whole[max(0, at - 2) : end].astype(np.uint64)
+        if len(w) >= 3:
+            flags[_bucket((w[:-2] << np.uint64(16)) | (w[1:-1] << np.uint64(8)) | w[2:], 1)] = True
+        word, shape, size, _ = _words(whole[at:end])
+        if len(word):
+            flags[_bucket(word, 2)] = True
+            flags[_bucket(shape * np.uint64(16) + size, 3)] = True
+            if last is not None:
+                word, shape = np.append(last[0], word), np.append(last[1], shape)
+            if len(word) > 1:
+                same = (word[1:] == word[:-1]).astype(np.uint64)
+                flags[_bucket((shape[:-1] * np.uint64(125) + shape[1:]) * np.uint64(2) + same, 4)] = True
+            last = word[-1:], shape[-1:]
+        at = end
     found = np.flatnonzero(flags)
     flags[found] = False
     return found
 
 
+def pack(found: np.ndarray) -> bytes:
+    """Sorted buckets as bytes: their differences, or a bit for each bucket where that is less. No more than 2**BITS / 8 bytes."""
+    if len(found) >= 1 << (BITS - 4):
+        flags = np.zeros(1 << BITS, bool)
+        flags[found] = True
+        return b"\1" + np.packbits(flags).tobytes()
+    steps = np.diff(found, prepend=0)
+    # A difference beyond 65534 is written in parts.
+    wide = np.repeat(np.minimum(steps, 65535), 1 + steps // 65535)
+    if (steps >= 65535).any():
+        wide = np.array([x for s in steps.tolist() for x in [*[65535] * (s // 65535), s % 65535]])
+    return b"\0" + wide.astype(np.uint16).tobytes()
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    if packed[0]:
+        return np.flatnonzero(np.unpackbits(np.frombuffer(packed, np.uint8, offset=1)))
+    steps = np.frombuffer(packed, np.uint16, offset=1).astype(np.int64)
+    return np.cumsum(steps)[steps < 65535]
+
+
 @dataclass
 class NbSvm:
     """Weights by bucket (the log-count ratio times the fitted weight), bias, and the logistic from margins to scores."""
@@ -151,12 +184,15 @@ def _logistic(m: np.ndarray, t: np.ndarray) -> tuple[float, float]:
 def _featurise(batches):
     flags = np.zeros(1 << BITS, bool)
     for batch in batches:
-        found = [features(t, flags).astype(np.int32) for t in batch.column("_text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("_h"), batch.column("_label"), pa.array(found, pa.list_(pa.int32()))], names=["h", "label", "found"])
+        found = [pack(features(t, flags)) for t in batch.column("_text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("_h"), batch.column("_label"), pa.array(found, pa.binary())], names=["h", "label", "found"])
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", train_rows: int = TRAIN_ROWS) -> NbSvm | None:
-    """A model from the labelled rows of docs, at most about train_rows of each class; None unless both classes occur."""
+    """A model from the labelled rows of docs, at most about train_rows of each class; None unless both classes occur.
+
+    Their n-grams come to the driver packed, at most 2**BITS / 8 bytes a row (16 KB), so no more than that times the rows of both classes, whatever the input's size.
+    """
     own = labels.where(F.col(label).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label).cast("int")).alias("_label"))
     sizes = {r[0]: r[1] for r in own.groupBy("_label").count().collect()}
     if not {0, 1} <= set(sizes):
@@ -166,11 +202,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     few = own.where(F.pmod(F.xxhash64("_id", F.lit("quality")), F.lit(steps)) < share[F.col("_label")])
     # At most about train_rows ids of each class, whatever the input's size: they are sent to the documents, not the documents to them.
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text).cast("binary").alias("_text")).join(F.broadcast(few), "_id")
-    got = rows.select(F.xxhash64("_id").alias("_h"), "_label", "_text").mapInArrow(_featurise, "h long, label int, found array<int>").toArrow()
+    got = rows.select(F.xxhash64("_id").alias("_h"), "_label", "_text").mapInArrow(_featurise, "h long, label int, found binary").toArrow()
     order = np.lexsort((got.column("label").to_numpy(), got.column("h").to_numpy()))
-    found = got.column("found").combine_chunks()
-    offsets, values = found.offsets.to_numpy(), found.values.to_numpy()
-    sets = [values[offsets[i] : offsets[i + 1]] for i in order]
+    packed = got.column("found")
+    sets = [unpack(packed[int(i)].as_py()).astype(np.int32) for i in order]
     y = got.column("label").to_numpy()[order]
     return NbSvm.fit(sets, y) if len(set(y.tolist())) == 2 else None
 
@@ -179,19 +214,18 @@ def score(docs: DataFrame, model: NbSvm | None, keep: list[str], text: str = "te
     """The columns in keep with quality_score (0 to 1) of each row's whole text.
 
     Null and empty texts score as a text without n-grams (the bias alone); without a model every score is 0.5. Repeated
-    rows get equal scores, an empty table gives an empty table, and other columns are not read.
+    rows get equal scores, an empty table gives an empty table, and other columns are not read. A kept column named `quality_score` gives way to the result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*keep, F.col(text).cast("binary").alias("_text"))
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "quality_score double"])
+    kept = Kept(docs, keep, ["quality_score"])
 
     def run(batches):
         m, flags = shared.value, np.zeros(1 << BITS, bool)
         for batch in batches:
-            got = [0.5 if m is None else m.score(features(t, flags)) for t in batch.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(got, pa.float64())], names=[*keep, "quality_score"])
+            got = [0.5 if m is None else m.score(features(t, flags)) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("kept"), pa.array(got, pa.float64())], names=["kept", "quality_score"])
 
-    return rows.mapInArrow(run, schema)
+    return kept.out(docs.select(kept.column, F.col(text).cast("binary").alias("text")).mapInArrow(run, kept.schema("quality_score double")))
 
 
 def learnable(df: DataFrame, modulus: int = 5, id_col: str = "doc_id") -> DataFrame:
