@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks
+from .common import Kept, blocks
 
 ORDER = 3
 #: Learning reads at most about this many labelled documents a language, picked by a hash of doc_id.
@@ -142,17 +142,17 @@ def predict(docs: DataFrame, model: PpmModel | None, keep: list[str], text: str
     """The columns in keep, with lang_pred, score and bits_per_byte for each row's whole text.
 
     lang_pred is `und`, with score 0, for a null text, one without letters, or where nothing was learned. Ties go to the first
-    language by code point. Repeated rows get equal results; an empty table gives an empty table.
+    language by code point. Repeated rows get equal results; an empty table gives an empty table. A kept column named like one of the results gives way to it.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    rows = docs.select(*keep, F.col(text).cast("binary").alias("_text"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "lang_pred string, score double, bits_per_byte double"])
+    kept = Kept(docs, keep, ["lang_pred", "score", "bits_per_byte"])
+    rows = docs.select(kept.column, F.col(text).cast("binary").alias("text"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("letters"))
 
     def run(batches):
         m = shared.value
         for batch in batches:
-            texts, letters = batch.column("_text").to_pylist(), batch.column("_letters").to_pylist()
+            texts, letters = batch.column("text").to_pylist(), batch.column("letters").to_pylist()
             names, scores, rates = ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
             at = [i for i, ok in enumerate(letters) if ok and m is not None]
             if at:
@@ -161,7 +161,6 @@ def predict(docs: DataFrame, model: PpmModel | None, keep: list[str], text: str
                 post = 1 / np.exp2(-_EVIDENCE * (bits - bits.min(axis=1, keepdims=True))).sum(axis=1)
                 for i, k, p, low in zip(at, best, post, bits.min(axis=1)):
                     names[i], scores[i], rates[i] = m.langs[k], float(p), float(low) / len(texts[i])
-            kept = [batch.column(c) for c in keep]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())], names=[*keep, "lang_pred", "score", "bits_per_byte"])
+            yield pa.RecordBatch.from_arrays([batch.column("kept"), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())], names=["kept", "lang_pred", "score", "bits_per_byte"])
 
-    return rows.mapInArrow(run, schema)
+    return kept.out(rows.mapInArrow(run, kept.schema("lang_pred string, score double, bits_per_byte double")))

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Kept
+
 RATE = 8000
 FRAME = 192
 #: Samples in a packet, a multiple of FRAME.
@@ -172,31 +174,34 @@ def decode(media: bytes) -> Audio:
     return Audio(payload, int(length.packets[1]), audio.pages + length.pages, len(audio.packets) + len(length.packets), ends[-1] / rate, [e / rate for e in ends])
 
 
-def _fields(df: DataFrame, keep: list[str]) -> str:
-    return "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in keep)
-
-
 def with_media(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns in keep with `media`, the container of each row's whole text. Null counts as empty; other columns are not read."""
+    """The columns in keep with `media`, the container of each row's whole text.
+
+    A null text counts as empty; equal texts, and so repeated rows, have equal containers; an empty table gives an empty table; other columns are not read. A kept column
+    named `media` gives way to the result.
+    """
+    kept = Kept(docs, keep, ["media"])
 
     def run(batches):
         for batch in batches:
-            made = [encode(t or b"") for t in batch.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(made, pa.binary())], names=[*keep, "media"])
+            made = [encode(t or b"") for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("kept"), pa.array(made, pa.binary())], names=["kept", "media"])
 
-    return docs.select(*keep, F.col(text).cast("binary").alias("_text")).mapInArrow(run, _fields(docs, keep) + "media binary")
+    return kept.out(docs.select(kept.column, F.col(text).cast("binary").alias("text")).mapInArrow(run, kept.schema("media binary")))
 
 
 def read_media(df: DataFrame, keep: list[str], media: str = "media") -> DataFrame:
     """The columns in keep, and of each row's container: payload, n_bytes, media_bytes, media_sha256, seconds, packet end times and feature.
 
-    A null or damaged container gives nulls and the reason in `error`; a sound one has a null error.
+    A null or damaged container gives nulls and the reason in `error`; a sound one has a null error. Repeated rows get equal results, an empty table gives an empty table. A kept
+    column named like one of the results gives way to it.
     """
+    kept = Kept(df, keep, [k for k, _ in _READ])
 
     def run(batches):
         for batch in batches:
             rows = []
-            for m in batch.column("_media").to_pylist():
+            for m in batch.column("media").to_pylist():
                 try:
                     if m is None:
                         raise OggError("no container")
@@ -205,9 +210,9 @@ def read_media(df: DataFrame, keep: list[str], media: str = "media") -> DataFram
                 except (OggError, ValueError, IndexError, struct.error) as e:
                     rows.append({"error": str(e) or type(e).__name__})
             cols = [pa.array([r.get(k) for r in rows], t) for k, t in _READ]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *cols], names=[*keep, *(k for k, _ in _READ)])
+            yield pa.RecordBatch.from_arrays([batch.column("kept"), *cols], names=["kept", *(k for k, _ in _READ)])
 
-    return df.select(*keep, F.col(media).alias("_media")).mapInArrow(run, _fields(df, keep) + "payload binary, n_bytes long, media_bytes long, media_sha256 string, seconds double, times array<double>, feature string, error string")
+    return kept.out(df.select(kept.column, F.col(media).alias("media")).mapInArrow(run, kept.schema("payload binary, n_bytes long, media_bytes long, media_sha256 string, seconds double, times array<double>, feature string, error string")))
 
 
 _READ = [("payload", pa.binary()), ("n_bytes", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("seconds", pa.float64()), ("times", pa.list_(pa.float64())), ("feature", pa.string()), ("error", pa.string())]
