@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import popcount, written
+from .common import Kept, discard, maybe_broadcast, popcount, written
 from .components import components
 
 SHINGLE = 4
@@ -126,14 +126,14 @@ class Golay:
 
 def fingerprints(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """The columns in keep with `fp`, the fingerprint as a signed long, of each row's whole text (null: no words)."""
-    fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
+    kept = Kept(docs, keep, ["fp"])
 
     def run(batches):
         for batch in batches:
-            fp = np.array([fingerprint(t) for t in batch.column("_text").to_pylist()], np.uint64).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(fp)], names=[*keep, "fp"])
+            fp = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("kept"), pa.array(fp)], names=["kept", "fp"])
 
-    return docs.select(*keep, F.col(text).cast("binary").alias("_text")).mapInArrow(run, fields + "fp long")
+    return kept.out(docs.select(kept.column, F.col(text).cast("binary").alias("text")).mapInArrow(run, kept.schema("fp long")))
 
 
 def _spanning(a: np.ndarray, b: np.ndarray | None = None) -> np.ndarray:
@@ -236,20 +236,31 @@ def links(prints: DataFrame) -> DataFrame:
     return near.union(more).distinct()
 
 
+def roots(own: DataFrame) -> DataFrame:
+    """(fp, root) for each distinct fingerprint of own (column fp): fingerprints of one root are one component."""
+    prints = written(own.select("fp").distinct(), "prints")
+    edges = written(links(prints), "near")
+    reached = components(edges, "a", "b").withColumnRenamed("node", "fp")
+    found = written(prints.join(reached, "fp", "left").select("fp", F.coalesce("component", "fp").alias("root")), "roots")
+    discard(prints, edges)
+    return found
+
+
 def grouped(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The columns in keep, then fp (signed long), root and component_id for each row of docs. Rows of one root are one component, whatever their ids.
 
-    component_id is the smallest id reachable by links, the row's own included; a component of null ids only has a null one.
+    component_id is the smallest id reachable by links, the row's own included; a component of null ids only has a null one. A kept column named like one of the results gives
+    way to it.
     """
-    own = written(fingerprints(docs, list(dict.fromkeys([*keep, id_col])), text), "fingerprints")
-    prints = own.groupBy("fp").agg(F.min(id_col).alias("least"))
-    prints = written(prints, "prints")
-    reached = components(links(prints), "a", "b").withColumnRenamed("node", "fp")
-    root = prints.join(reached, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    root = written(root, "roots")
-    ids = root.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = root.join(ids, "root").select("fp", "root", "component_id")
-    return own.join(named, "fp").select(*keep, "fp", "root", "component_id")
+    kept = Kept(docs, keep, ["fp", "root", "component_id"])
+    own = written(fingerprints(docs.select(kept.column, F.col(id_col).alias("id"), F.col(text).alias("text")), ["kept", "id"]), "fingerprints")
+    root = roots(own)
+    # The least id of each fingerprint first, so a component is no more than its fingerprints.
+    least = own.groupBy("fp").agg(F.min("id").alias("least")).join(maybe_broadcast(root), "fp")
+    ids = least.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = written(root.join(ids, "root"), "named")
+    discard(root)
+    return kept.out(own.join(maybe_broadcast(named), "fp"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
