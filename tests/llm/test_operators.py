@@ -14,12 +14,12 @@ from tesserae.llm import chat, components, decontaminate, language_id, licenses,
 from tesserae.llm.common import table
 
 SMALL = "/root/testdata/sf0.001"
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, row int, h double, _text string, lines string, bucket int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, row int, h double, _text string, lines string, bucket int, _items int, kept int, k1 long, items string, score double, label int, p int, source_size int"
 
 
 def docs_of(spark, rows):
     """rows: (doc_id, text, lang, source); the other columns have names that the operators use themselves."""
-    return spark.createDataFrame([(i, t, lang, s, None if t is None else len(t), "x", 1, 2.0, "y", "z", 3) for i, t, lang, s in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, lang, s, None if t is None else len(t), "x", 1, 2.0, "y", "z", 3, 4, 5, 6, "w", 0.5, 7, 8, 9) for i, t, lang, s in rows], SCHEMA)
 
 
 LONG = "the quick brown fox jumps over the lazy dog again and again until night falls " * 3000
@@ -200,86 +200,169 @@ def test_quality(spark):
     assert {r[1] for r in quality.score(docs_of(spark, ODD), None, ["doc_id"]).collect()} == {0.5}
 
 
+def plain_features(text):
+    """N-grams as a set of keys, by a plain reading of the whole text."""
+    words = re.findall(rb"[^\x09-\x0D\x20]+", text)
+    kind = lambda c: 0 if 97 <= c <= 122 else 1 if 65 <= c <= 90 else 2 if 48 <= c <= 57 else 4 if c >= 128 else 3
+    shape = lambda w: (kind(w[0]), kind(w[min(1, len(w) - 1)]), kind(w[-1]))
+    out = {("bytes", text[i : i + 3]) for i in range(len(text) - 2)} | {("word", w) for w in words} | {("shape", shape(w), min(len(w), 15)) for w in words}
+    return out | {("pair", shape(a), shape(b), a == b) for a, b in zip(words, words[1:])}
+
+
+def test_quality_features_and_fit():
+    """Features against a plain reading, in pieces of any length; the fit against plain log-count ratios and a plain solution of the dual."""
+    rng, flags = random.Random(3), np.zeros(1 << quality.BITS, bool)
+    texts = ["".join(rng.choices(["a", "B", "1", " ", "\n", "é", "  ", "longword" * 3], k=rng.randrange(60))).encode() for _ in range(60)]
+    seen: dict = {}
+    for t in texts:
+        found = quality.features(t, flags)
+        for piece in (1, 5, 64):
+            assert np.array_equal(found, quality.features(t, flags, piece))
+        for key in plain_features(t):
+            alone = seen.setdefault(key, set(found.tolist()))
+            alone &= set(found.tolist())
+        assert len(found) <= len(plain_features(t)) and np.array_equal(quality.unpack(quality.pack(found)), found)
+    assert all(seen.values())  # every n-gram has a bucket that is there whenever it is
+    rows = [np.unique(np.random.default_rng(i).integers(0, 12, 5)) + 6 * (i % 2) for i in range(40)]
+    y = np.array([i % 2 for i in range(40)])
+    model = quality.NbSvm.fit(rows, y, epochs=3000)
+    learn = [i for i in range(40) if i % 5 != 4]
+    p, q = np.ones(1 << quality.BITS), np.ones(1 << quality.BITS)
+    for i in learn:
+        for f in rows[i]:
+            (p if y[i] else q)[f] += 1
+    ratio = np.log(p / p.sum()) - np.log(q / q.sum())
+    x = np.zeros((len(learn), 19))
+    for a, i in enumerate(learn):
+        x[a, rows[i]] = ratio[rows[i]] / np.sqrt(len(rows[i]))
+    x[:, 18] = 1
+    s = np.where(y[learn] > 0, 1.0, -1.0)
+    kernel = (x * s[:, None]) @ (x * s[:, None]).T
+    top = np.where(s > 0, 1.0, min(10.0, (s > 0).sum() / (s < 0).sum()))
+    alpha = np.zeros(len(learn))
+    for _ in range(20000):  # projected gradient on the dual
+        alpha = np.clip(alpha + 0.02 * (1 - kernel @ alpha), 0, top)
+    w = (alpha * s) @ x
+    got = np.append((model.weights / np.where(ratio == 0, 1, ratio))[:18], model.bias)
+    loss = lambda w: (w @ w) / 2 + (top * np.maximum(0, 1 - s * (x @ w))).sum()
+    assert loss(got) <= loss(w) * 1.02 + 1e-3
+
+
 def test_token_trees(spark):
     with open(token_counts.VOCABULARY, "rb") as f:
         tok = token_counts.Tokenizer(f.read())
     rng, parts = random.Random(2), ["a", "'", " ", "  ", "\n", "re", "'ll", "7", "é", "!!", "\t", "猫"]
-    for _ in range(300):
+    for turn in range(300):
         text = "".join(rng.choices(parts, k=rng.choice([0, 3, 20, 600])))
         tree = token_counts.TokenTree(text, tok)
         for _ in range(4):
-            a, new = rng.randrange(len(text) + 1), "".join(rng.choices(parts, k=rng.choice([0, 1, 5])))
+            if turn % 2:
+                tree = token_counts.TokenTree.load(tree.save(), tok)
+            a, new = rng.randrange(len(text) + 1), "".join(rng.choices(parts, k=rng.choice([0, 1, 5, 300])))
             b = min(len(text), a + rng.choice([0, 1, 5, 200]))
             text = text[:a] + new + text[b:]
             tree.edit(a, b, new)
             assert tree.text() == text and tree.total == len(tok.encoding.encode_ordinary(text)) and tree.size == len(text)
-            assert [p for leaf in tree.pieces for p in leaf] == tok.split(text)
+            assert [p for k in range(len(tree.leaves)) for p in tree.leaf(k)[0]] == tok.split(text)
     tree = token_counts.TokenTree(LONG, tok)
-    assert tree.edit(100_000, 100_000, "x") < 200
+    state = tree.save()
+    tree = token_counts.TokenTree.load(state, tok)
+    assert tree.edit(100_000, 100_000, "x") < 200 and sum(not isinstance(x, int) for x in tree.leaves) <= 3
+    for k in range(700):
+        tree.edit(50_000, 50_000, f" {k}")
+    assert max(len(tree.leaf(k)[0]) for k in range(len(tree.leaves))) <= 2 * token_counts.LEAF and tree.total == len(tok.encoding.encode_ordinary(tree.text()))
+    trees = token_counts.build_trees(docs_of(spark, ODD), ["doc_id", "text", "score"])
+    once = token_counts.apply_edits(trees.withColumn("edits", F.expr("array(struct(2L AS start, 5L AS stop, 'zz' AS text))")), ["doc_id", "text"], "edits")
+    twice = token_counts.apply_edits(once.withColumn("edits", F.expr("array(struct(0L AS start, 1L AS stop, ' q' AS text))")), ["doc_id", "text"], "edits")
+    for r in twice.collect():
+        t = (r["text"] or "")[:2] + "zz" + (r["text"] or "")[5:]
+        assert r["tree"]["text"] == " q" + t[1:] and (r["n_tokens"], r["n_tokens_edited"]) == tuple(len(tok.encoding.encode_ordinary(x)) for x in (t, " q" + t[1:]))
     edits = F.array(F.struct(F.lit(2).cast("long").alias("start"), F.lit(5).cast("long").alias("stop"), F.lit("zz").alias("text")), F.lit(None))
     for r in token_counts.count_with_edits(docs_of(spark, ODD).withColumn("edits", edits), ["doc_id", "n_chars"], "edits").collect():
         t = next(x[1] for x in ODD if x[0] == r["doc_id"]) or ""
         assert (r["n_tokens"], r["n_tokens_edited"]) == tuple(len(tok.encoding.encode_ordinary(x)) for x in (t, t[:2] + "zz" + t[5:]))
 
 
-def brute_lines(rows, least=30):
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, old = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+    return row[-1]
+
+
+def brute_lines(rows, edits):
+    """Rows of distinct ids, or repeated rows."""
     first = {}
     for d, t in rows:
         for p, line in enumerate(t.split("\n") if t is not None else []):
-            if len(line) >= least:
-                at = first.setdefault(line, [d, p])
+            if line.strip(" "):
+                at = first.setdefault(line, [d, p, d])
                 at[0], at[1] = min(at[0], d), min(at[1], p)
+    allowed = lambda n: max([k for least, k in edits if n >= least], default=0)
 
     def close(a, b):
-        if abs(len(a) - len(b)) > 1 or a == b:
-            return False
-        k = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-        return a[k + 1 :] == b[k + 1 :] or a[k + 1 :] == b[k:] or a[k:] == b[k + 1 :]
+        k = allowed(min(len(a), len(b)))
+        return k and abs(len(a) - len(b)) <= k and edit_distance(a, b) <= k
 
-    order = sorted(first, key=lambda x: (*first[x], x))
+    order = sorted(first, key=lambda x: (first[x][0], first[x][1], x))
     near = {b for i, b in enumerate(order) if any(close(a, b) for a in order[:i])}
     out = []
     for d, t in rows:
         seen, kept = set(), []
         for line in t.split("\n") if t is not None else []:
-            if len(line) < least or (line not in near and first[line][0] == d and line not in seen):
+            if not line.strip(" ") or (line not in near and first[line][0] == d and line not in seen):
                 kept.append(line)
             seen.add(line)
         out.append((d, None if t is None else "\n".join(kept)))
     return out
 
 
-def test_line_dedup(spark):
-    rng = random.Random(4)
-    base = ["".join(rng.choices("abcdé ", k=rng.choice([29, 30, 31, 40, 80]))) for _ in range(12)]
-
-    def edited(line):
+def damaged(rng, line, times):
+    for _ in range(times):
         k, how = rng.randrange(len(line)), rng.randrange(3)
-        return line[:k] + ("" if how == 0 else "Z" if how == 1 else "Z" + line[k]) + line[k + 1 :]
+        line = line[:k] + ("" if how == 0 else "Z" if how == 1 else "Z" + line[k]) + line[k + 1 :]
+    return line
+
 
-    rows = [(i, "\n".join(rng.choice([lambda x: x, edited, lambda x: edited(edited(x))])(rng.choice(base)) for _ in range(rng.randrange(1, 9)))) for i in range(60)]
-    rows += [(60, None), (61, ""), (62, "short\nshort"), (5, rows[5][1])]
+@pytest.mark.parametrize("edits", [((30, 1),), ((24, 2),), ((24, 3),), ()])
+def test_line_dedup(spark, edits):
+    rng = random.Random(4)
+    base = ["".join(rng.choices("abcdé ", k=rng.choice([23, 24, 29, 30, 31, 40, 60, 80]))) for _ in range(14)] + ["short", "é"]
+    rows = [(i, "\n".join(damaged(rng, x := rng.choice(base), rng.randrange(5) if len(x) > 9 else 0) for _ in range(rng.randrange(1, 9)))) for i in range(70)]
+    rows += [(70, None), (71, ""), (72, "short\n\n \nshort\nown"), (5, rows[5][1])]
     df = docs_of(spark, [(i, t, None, None) for i, t in rows])
-    out = line_dedup.dedup_lines(df, ["doc_id"])
-    assert "PythonUDF" not in out._jdf.queryExecution().toString()
-    assert sorted(((r[0], r[1]) for r in out.select("doc_id", "clean_text").collect()), key=repr) == sorted(brute_lines(rows), key=repr)
-    assert line_dedup.dedup_lines(df.limit(0), ["doc_id"]).count() == 0
-    assert line_dedup.dedup_lines(docs_of(spark, ODD), ["doc_id"]).count() == len(ODD)
+    out = line_dedup.dedup_lines(df, ["doc_id", "lines", "fp"], edits=edits)
+    assert "PythonUDF" not in out._jdf.queryExecution().toString() and out.columns == ["doc_id", "lines", "fp", "clean_text", "n_lines", "n_dropped"]
+    got = out.collect()
+    assert sorted(((r[0], r["clean_text"]) for r in got), key=repr) == sorted(brute_lines(rows, edits), key=repr)
+    assert {r["doc_id"]: (r["n_lines"], r["n_dropped"]) for r in got if r["doc_id"] >= 70} == {70: (0, 0), 71: (1, 0), 72: (5, 2)}
+    assert line_dedup.dedup_lines(df.limit(0), ["doc_id"], edits=edits).count() == 0
+    assert line_dedup.dedup_lines(docs_of(spark, ODD), ["doc_id"], edits=edits).count() == len(ODD)
 
 
-@pytest.mark.parametrize("crowd, short", [(1, 64), (2, 3)])
-def test_line_dedup_of_crowded_keys(spark, monkeypatch, crowd, short):
+def test_line_dedup_of_shared_and_null_ids(spark):
+    """Unlike texts of one id, or of none, are rows of their own: a line of theirs stays in one of them."""
+    line = "a line that stands in four rows of no id and three of one"
+    rows = [(None, f"{line}\n{i}") for i in range(4)] + [(7, f"{line}\n{i}{i}") for i in range(3)]
+    out = [r["clean_text"] for r in line_dedup.dedup_lines(docs_of(spark, [(i, t, None, None) for i, t in rows]), []).collect()]
+    assert sum(line in t for t in out) == 1 and sorted(t.removeprefix(line + "\n") for t in out) == sorted(t.split("\n")[1] for _, t in rows)
+
+
+@pytest.mark.parametrize("crowd, short, edits", [(2, {1: 3}, ((30, 1),)), (6, {2: 6, 3: 4}, ((30, 1), (48, 2), (60, 3)))])
+def test_line_dedup_of_crowded_keys(spark, monkeypatch, crowd, short, edits):
     """Running numbers and edits of one line, at which every key is crowded; ties of first places."""
     monkeypatch.setattr(line_dedup, "CROWD", crowd)
-    monkeypatch.setattr(line_dedup, "SHORT_PIECE", short)
+    monkeypatch.setattr(line_dedup, "SHORT", short)
     rng, long = random.Random(7), "the very same line of words, ünlike its number "
-    numbers = [f"{long}{k}" for k in rng.sample(range(2000), 150)]
-    edits = [long[:k] + rng.choice(["", "Z", "ß" + long[k]]) + long[k + 1 :] for k in rng.choices(range(len(long)), k=60)]
-    lines = numbers + edits + [x + x for x in edits[:20]]
+    numbers = [f"{long}{k}" for k in rng.sample(range(200000), 60)]
+    changed = [damaged(rng, long, rng.randrange(4)) for _ in range(40)]
+    lines = numbers + changed + [x + x for x in changed[:8]]
     rng.shuffle(lines)
-    rows = [(i, "\n".join(lines[i * 10 : i * 10 + 10])) for i in range(len(lines) // 10)] + [(i, x) for i, x in zip([2, 2, 2, 9, 9], numbers[:5])]
-    out = line_dedup.dedup_lines(docs_of(spark, [(i, t, None, None) for i, t in rows]), ["doc_id"])
-    assert sorted(map(tuple, out.select("doc_id", "clean_text").collect())) == sorted(brute_lines(rows))
+    rows = [(i, "\n".join(lines[i * 9 : i * 9 + 9])) for i in range(len(lines) // 9)] + [(i + 100, x) for i, x in enumerate(numbers[:3])]
+    out = line_dedup.dedup_lines(docs_of(spark, [(i, t, None, None) for i, t in rows]), ["doc_id"], edits=edits)
+    assert sorted((r["doc_id"], r["clean_text"]) for r in out.collect()) == sorted(brute_lines(rows, edits))
 
 
 def test_mixing(spark):
@@ -309,21 +392,78 @@ def test_mixing(spark):
     assert len(odd) == len(ODD) and mixing.mix_plan(docs_of(spark, ODD).limit(0)).count() == 0
     again = lambda: sorted(map(repr, mixing.mix_plan(docs_of(spark, ODD).repartition(3)).collect()))
     assert again() == again()
-    docs = docs_of(spark, [(i, "w " * (i % 7 + 1), None, "ab"[i % 2]) for i in range(200)])
-    order = [r["position"] for r in mixing.curriculum(docs, ["doc_id", "source"]).collect()]
-    assert order == sorted(order) and 0 <= order[0] and order[-1] <= 1
     # The inverse of the integrated schedule, against the integral.
     for tier, knots in enumerate(mixing.SCHEDULES):
         t = np.linspace(0, 1, 10001)
         w = np.interp(t, *zip(*knots))
         area = np.concatenate([[0], np.cumsum((w[1:] + w[:-1]) / 2)])
-        for share in (0.0, 0.1, 0.5, 0.77, 1.0):
-            got = spark.range(1).select(mixing.training_time(F.lit(share), F.lit(tier)).alias("t")).first()["t"]
-            assert abs(got - np.interp(share, area / area[-1], t)) < 1e-3
+        shares = [0.0, 0.1, 0.25, 0.5, 0.77, 1.0]
+        got = spark.createDataFrame([(x,) for x in shares], "x double").select("x", mixing.training_time(F.col("x"), F.lit(tier)).alias("t")).withColumn("y", mixing.integral(F.col("t"), knots)).collect()
+        assert all(abs(r["t"] - np.interp(r["x"], area / area[-1], t)) < 1e-3 and abs(r["y"] - r["x"]) < 1e-12 for r in got)
+
+
+def test_curriculum_windows(spark):
+    """In windows of training positions each source has the words that its schedule demands between the window's ends; repeated rows, shared and null ids are uses each."""
+    rng = random.Random(9)
+    rows = [(i if i % 9 else None if i % 2 else 4, "w " * rng.randrange(1, 30) + f"t{i}", None, "abcd"[min(3, rng.randrange(8))]) for i in range(3000)]
+    rows += [rows[5], rows[5], (7777, None, None, "a"), (7778, "", None, None)]
+    out = mixing.curriculum(docs_of(spark, rows), ["doc_id", "source", "text", "score", "k1"]).collect()
+    plan = mixing.mix_plan(docs_of(spark, rows)).collect()
+    assert len(plan) == len(rows)
+    order = [r["position"] for r in out]
+    goals, sizes = Counter(), Counter()
+    for _, t, _, s in rows:
+        sizes[s] += len((t or "").split())
+    for r in out:
+        goals[r["source"]] += r["words"]
+    total = sum(goals.values())
+    assert order == sorted(order) and order[0] == 0 and order[-1] < total and abs(sum(r["taken"] for r in plan) - total) == 0
+    assert all(len(r["uses"]) <= 3 and r["taken"] <= 3 * r["size"] for r in plan)
+    names = sorted(s for s in sizes if s) + [None]
+    t = np.linspace(0, 1, 20001)
+    met = {}
+    for k, s in enumerate(names):
+        w = np.interp(t, *zip(*mixing.SCHEDULES[k % 3]))
+        area = np.concatenate([[0], np.cumsum((w[1:] + w[:-1]) / 2)])
+        met[s] = goals[s] * area / area[-1]
+    demand = sum(met.values())
+    cuts = np.linspace(0, total, 21)
+    for a, b in zip(cuts, cuts[1:]):
+        got = Counter()
+        for r in out:
+            if a <= r["position"] < b:
+                got[r["source"]] += r["words"]
+        for s in names:
+            ends = [np.interp(np.interp(x, demand, t), t, met[s]) for x in (a, b)]
+            assert abs(got[s] - (ends[1] - ends[0])) <= 31, (a, s)
+    places = Counter((r["doc_id"], r["text"]) for r in out)
+    assert places[rows[5][0], rows[5][1]] >= 3 and mixing.curriculum(docs_of(spark, rows).limit(0), ["doc_id"]).count() == 0
+
+
+def test_licenses_by_brute_force():
+    """Small words: the best coefficient of all stretches of a text, and of the whole text, is found; nothing under the limit is."""
+    rng = random.Random(8)
+    for _ in range(150):
+        own = [("A", " ".join(rng.choices("abcdefgh", k=rng.randrange(4, 9)))), ("B", " ".join(rng.choices("abcdefgh", k=rng.randrange(4, 9))))]
+        text = rng.choices("abcdefghxyz", k=rng.randrange(0, 25))
+        for name, t in own:
+            if rng.random() < 0.7:
+                w = t.split()
+                w[rng.randrange(len(w))] = "x"
+                at = rng.randrange(len(text) + 1)
+                text[at:at] = w * rng.choice([1, 1, 5])
+        grams = lambda w: set(zip(w, w[1:]))
+        best = {}
+        for name, t in own:
+            g = grams(t.split())
+            best[name] = max([2 * len(g & grams(text[a:b])) / (len(g) + len(grams(text[a:b]))) for a in range(len(text)) for b in range(a + 2, len(text) + 1)], default=0.0)
+        got = licenses.Templates(own, 0.6).matches([w.encode() for w in text])
+        assert max([m[1] for m in got], default=0.0) == max([c for c in best.values() if c >= 0.6], default=0.0)
+        assert all(b2[2] >= a2[3] for a2, b2 in zip(got, got[1:])) and all(0.6 <= c <= best[n] for n, c, _, _ in got)
 
 
 def test_licenses(spark):
-    mit = licenses.TEMPLATES[2][1]
+    mit = licenses.NOTICES[2][1]
     rows = [(1, "x\n" + mit.upper() + "\nlast"), (2, "Licensed under the Apache License, Version 2.0. More words follow here"), (3, "nothing of the kind"), (4, None), (5, ""), (6, mit.replace("merge", "fold")), (7, "licensed under")]
     got = {r["doc_id"]: r["matches"] for r in licenses.scan(docs_of(spark, [(i, t, None, None) for i, t in rows]), ["doc_id"]).collect()}
     assert [m["license"] for m in got[1]] == ["MIT"] and got[1][0]["dice"] == 1 and got[1][0]["first"] == 1
@@ -348,15 +488,18 @@ def brute_hits(text, items):
     return len(own), len(hit), sorted(names)
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 60])
-def test_decontamination(spark, block_bytes):
+@pytest.mark.parametrize("max_bloom, broadcast", [(27, 8 << 20), (12, 0)])
+def test_decontamination(spark, monkeypatch, max_bloom, broadcast):
+    """A filter too small for its fingerprints, and tables joined by shuffle, change nothing."""
+    monkeypatch.setattr(decontaminate, "MAX_BLOOM", max_bloom)
+    monkeypatch.setattr(decontaminate, "maybe_broadcast", lambda df: F.broadcast(df) if broadcast else df)
     rng = random.Random(6)
     items = [(str(i), " ".join(rng.choices("ab cd Éf g7 xy".split(), k=rng.choice([1, 3, 9, 10, 11, 14, 40])))) for i in range(12)] + [("e", ""), ("n", None), ("3", "same id")]
     texts = [" ".join(rng.choices("ab cd éf g7 xy qq".split(), k=60)) for _ in range(15)]
     texts += [f"q {t[: rng.randrange(1, 200)]}, {t[20:]} ab" for _, t in items if t] + [None, "", "ÀB cd", "zz " * 5000 + items[5][1] + " zz" * 10]
     docs = docs_of(spark, [(i, t, None, None) for i, t in enumerate(texts)])
     bench = spark.createDataFrame(items, "item_id string, text string")
-    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in decontaminate.find_hits(docs, bench, ["doc_id"], block_bytes=block_bytes).collect()}
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in decontaminate.find_hits(docs, bench, ["doc_id", "_items", "items"]).collect()}
     assert got == {i: brute_hits(t, items) for i, t in enumerate(texts)}
     assert decontaminate.find_hits(docs, bench.limit(0), ["doc_id"]).where("n_hit > 0").count() == 0 and decontaminate.find_hits(docs.limit(0), bench, ["doc_id"]).count() == 0
 

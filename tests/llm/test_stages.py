@@ -45,8 +45,8 @@ def test_copies_with_short_lines_do_not_get_through_as_stumps(spark, tmp_path):
 
 def test_license_stretches_longer_and_shorter_than_the_template():
     """Words put into or left out of a grant in a long text: the best stretch by brute force is found."""
-    grant = licenses.TEMPLATES[2][1].split()
-    sought = licenses.Templates([licenses.TEMPLATES[2]], licenses.DICE)
+    grant = licenses.NOTICES[2][1].split()
+    sought = licenses.Templates([licenses.NOTICES[2]], licenses.DICE)
     around = [prose(300).split() for _ in range(2)]
 
     def grams(w):
