@@ -14,15 +14,15 @@ from tesserae.config import Settings
 from tesserae.errors import InvalidQuery, PlanError, Superseded
 from tesserae.functions import registry
 from tesserae.operators.transactor import Transactor, TxReport
-from tesserae.plans.ast import Aggregate, Pull, Query, RuleSet, Var
+from tesserae.plans.ast import Aggregate, Const, Pattern, Pull, Query, RuleSet, Var
 from tesserae.plans.compiler import Compiler, Context, col
 from tesserae.plans.parser import parse_query, parse_ruleset
-from tesserae.plans.pull import pulled
+from tesserae.plans.pull import pulled, without_values
 from tesserae.plans.rules import Rules
 from tesserae.sources import formats
 from tesserae.sources.base import FactSource, LogFacts
 from tesserae.sources.edn import Fact, parse_edn, parse_json
-from tesserae.sources.log import LogStore
+from tesserae.sources.log import RETAIN_SECONDS, LogStore
 from tesserae.sources.schema import ONE, Attribute
 from tesserae.sources.wide import WideFacts, WideTable
 from tesserae.sources.wire import wire_frame
@@ -78,6 +78,11 @@ def run_query(spark: SparkSession, facts: FactSource, text: str, inputs: list[An
     for v, value in constants.items():
         known = known.withColumn(v, F.lit(value))
     names = {f.name if isinstance(f, Var) else f.var for f in query.find}
+    entity = _one_entity(query)
+    for f in query.find:
+        if isinstance(f, Pull) and f.var not in known.columns and entity is not None:
+            # A pull of a variable that nothing binds is of the one entity that the clauses name, if they hold for it.
+            known = known.distinct().withColumn(f.var, F.lit(entity))
     if lacking := sorted(names - set(known.columns)):
         raise PlanError(":find: not bound: " + ", ".join("?" + v for v in lacking))
     if tabular and any(isinstance(f, Pull) for f in query.find):
@@ -93,11 +98,18 @@ def run_query(spark: SparkSession, facts: FactSource, text: str, inputs: list[An
     return known.select(*[col(c) for c in dict.fromkeys(out)])
 
 
+def _one_entity(query: Query) -> int | None:
+    found = {c.e.value for c in query.where if isinstance(c, Pattern) and isinstance(c.e, Const)}
+    return next(iter(found)) if len(found) == 1 else None
+
+
 def _pull(facts: FactSource, known: DataFrame, pulls: list[Pull]) -> DataFrame:
     for p in pulls:
         trees = pulled(facts, known.select(col(p.var).alias("e")), p.attrs)
-        trees = trees.select(F.col("e").alias(p.var), F.col("tree").alias(f"pull_{p.var}"))
-        known = known.join(trees, p.var, "left")
+        empty = without_values(trees.schema["tree"].dataType)
+        trees = trees.select(F.col("e").alias(p.var), F.col("tree").alias("_tree"))
+        tree = F.when(col(p.var).isNotNull(), F.coalesce(F.col("_tree"), empty))
+        known = known.join(trees, p.var, "left").withColumn(f"pull_{p.var}", tree).drop("_tree")
     return known
 
 
@@ -149,12 +161,15 @@ class Database:
     def add_attribute(self, ident: str, value_type: str, unique: bool = False, cardinality: str = ONE, now: int | None = None) -> Attribute:
         return self.transactor.add_attribute(ident, value_type, unique, cardinality, self._now(now))
 
-    def transact(self, facts: Iterable[Fact] | DataFrame | str, now: int | None = None) -> TxReport:
-        """Facts, rows in the ingest schema, or an EDN text, as one transaction. now: microseconds, the valid time of facts that give none."""
+    def transact(self, facts: Iterable[Fact] | DataFrame | str, now: int | None = None, stream: tuple[str, int] | None = None) -> TxReport:
+        """Facts, rows in the ingest schema, or an EDN text, as one transaction. now: microseconds, the valid time of facts that give none.
+
+        stream: a stream's name and the number of its batch; a batch that was committed before writes nothing.
+        """
         if isinstance(facts, str):
             facts = parse_edn(facts)
         wire = facts if isinstance(facts, DataFrame) else wire_frame(self.spark, facts)
-        report = self.transactor.transact(wire, self._now(now))
+        report = self.transactor.transact(wire, self._now(now), stream)
         m = self.store.manifest()
         if 0 < self.settings.compact_after <= len(set(m.log) - set(m.covered)):
             try:
@@ -170,8 +185,8 @@ class Database:
     def compact(self) -> None:
         self.store.compact()
 
-    def vacuum(self) -> int:
-        return self.store.vacuum()
+    def vacuum(self, retain_seconds: float = RETAIN_SECONDS) -> int:
+        return self.store.vacuum(retain_seconds)
 
     # Reading
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from tesserae.errors import CompareAndSwapFailed, SerializationError, TypeMismatch, UndefinedAttribute, UniqueConstraintViolation
-from tesserae.sources.log import LogStore
+from tesserae.sources.log import LogStore, Manifest
 from tesserae.sources.schema import FOREVER, LOG_SCHEMA, MANY, VALUE_COLUMNS, VALUE_TYPES, Attribute
 from tesserae.sources.wire import CAS_COLUMNS
 
@@ -47,8 +47,12 @@ class Transactor:
         self.store.commit(replace(m, catalog=catalog, last_tx=tx, last_ts=max(now, m.last_ts)))
         return catalog.attributes[-1]
 
-    def transact(self, wire: DataFrame, now: int) -> TxReport:
+    def transact(self, wire: DataFrame, now: int, stream: tuple[str, int] | None = None) -> TxReport:
         m = self.store.manifest()
+        if stream:
+            if m.streams.get(stream[0], -1) >= stream[1]:
+                return TxReport(m.last_tx, now, 0)
+            m = replace(m, streams=m.streams | {stream[0]: stream[1]})
         tx, spark = m.last_tx + 1, self.store.spark
         rows = wire.withColumn("seq", F.col("seq") if "seq" in wire.columns else F.monotonically_increasing_id())
         rows = rows.withColumn("op", F.coalesce("op", F.lit(True))).withColumn("vt", F.coalesce("valid_time", F.lit(now)).cast("long")).withColumn("kind", _kind(VALUE_COLUMNS))
@@ -76,7 +80,7 @@ class Transactor:
         rows = rows.withColumns({"cas_ref": F.when(cas_ref, F.col("cas_int")).otherwise(F.col("cas_ref")), "cas_int": F.when(cas_ref, F.lit(None)).otherwise(F.col("cas_int"))})
         # Only the value column of the attribute's type is kept.
         rows = rows.withColumns({c: F.when(F.col("type") == k, F.col(c)) for k, (c, _) in VALUE_TYPES.items()}).withColumn("v", _struct())
-        before = self.store.intervals(m, sorted(a.id for a in own.values())).where("op").select("e", "a", "valid_from", "valid_to", _struct().alias("old"))
+        before = self.store.intervals(m, sorted(a.id for a in own.values()), self._touched(m, rows, [a.id for a in own.values() if a.unique])).where("op").select("e", "a", "valid_from", "valid_to", _struct().alias("old"))
         state = self._state(rows, before).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             self._check(state, before, any(a.unique for a in own.values()))
@@ -87,6 +91,16 @@ class Transactor:
         self.store.commit(replace(m, log=(*m.log, folder) if n else m.log, catalog=catalog, last_tx=tx, last_ts=max(now, m.last_ts)))
         return TxReport(tx, now, n)
 
+    def _touched(self, m: Manifest, rows: DataFrame, unique: list[int]) -> DataFrame:
+        """(e, a) of the facts that this transaction is about: its own, and those that have held a unique value that it claims. Only their history is read."""
+        own = rows.select("e", F.col("a").cast("int").alias("a"))
+        if unique:
+            value = F.xxhash64(*VALUE_COLUMNS)
+            claims = rows.where("uniq AND op").select(F.col("a").cast("int").alias("a"), value.alias("v")).distinct()
+            owners = self.store.log(m).where(F.col("a").isin(unique)).select("e", "a", value.alias("v")).join(claims, ["a", "v"], "left_semi")
+            own = own.unionByName(owners.select("e", "a"))
+        return own.distinct()
+
     def _state(self, rows: DataFrame, before: DataFrame) -> DataFrame:
         """The facts with `olds`, the values that their entity and attribute held at their valid time, and whether theirs is one of them."""
         at = rows.select("seq", "e", "a", "vt").join(before, ["e", "a"]).where("valid_from <= vt AND vt < valid_to")

@@ -1,24 +1,31 @@
 """The datom log as a table: Parquet files named by numbered manifests.
 
 Each transaction writes its datoms under a folder of its own, then a manifest with the files that make up the log, the schema and the last transaction. A
-manifest becomes visible by a rename, so files of a transaction that failed are never read, and a reader that holds a manifest has
+manifest's name is taken by one writer only, so files of a transaction that failed are never read, and a reader that holds a manifest has
 a snapshot. Compaction writes the whole log as closed intervals, and a later reader resolves only facts touched since.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from dataclasses import dataclass, field, replace
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.errors import Superseded
-from tesserae.operators.temporal import as_of, close_intervals, current
+from tesserae.operators.temporal import as_of, close_intervals, current, holding
 
 from .schema import LOG_SCHEMA, MANY, Catalog
 
+#: How long files that no manifest names are left alone, as a transaction in flight may be about to commit them.
+RETAIN_SECONDS = 7 * 86400
+#: A manifest that is not whole after this long has no writer any more.
+GRACE_SECONDS = 60
+
 
 @dataclass(frozen=True)
 class Manifest:
@@ -30,14 +37,16 @@ class Manifest:
     intervals: str | None = None
     covered: tuple[str, ...] = ()
     catalog: Catalog = field(default_factory=Catalog)
+    #: By stream, the last batch that was written.
+    streams: dict[str, int] = field(default_factory=dict)
 
     def dumps(self) -> str:
-        return json.dumps({"version": self.version, "last_tx": self.last_tx, "last_ts": self.last_ts, "log": self.log, "intervals": self.intervals, "covered": self.covered, "catalog": self.catalog.to_json()})
+        return json.dumps({"version": self.version, "last_tx": self.last_tx, "last_ts": self.last_ts, "log": self.log, "intervals": self.intervals, "covered": self.covered, "catalog": self.catalog.to_json(), "streams": self.streams})
 
     @classmethod
     def loads(cls, text: str) -> "Manifest":
         d = json.loads(text)
-        return cls(d["version"], d["last_tx"], d["last_ts"], tuple(d["log"]), d["intervals"], tuple(d["covered"]), Catalog.from_json(d["catalog"]))
+        return cls(d["version"], d["last_tx"], d["last_ts"], tuple(d["log"]), d["intervals"], tuple(d["covered"]), Catalog.from_json(d["catalog"]), d.get("streams", {}))
 
 
 class LogStore:
@@ -50,34 +59,72 @@ class LogStore:
         self._fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._fs.mkdirs(self._hadoop.Path(f"{self.path}/manifest"))
 
-    def manifest(self) -> Manifest:
-        """The newest manifest; an empty one for a new store."""
-        found = [int(n[:-5]) for s in self._fs.listStatus(self._hadoop.Path(f"{self.path}/manifest")) if (n := s.getPath().getName()).endswith(".json") and n[:-5].isdigit()]
-        if not found:
-            return Manifest()
-        stream = self._fs.open(self._hadoop.Path(f"{self.path}/manifest/{max(found):012d}.json"))
+    def _versions(self) -> list[int]:
+        return sorted(int(n[:-5]) for s in self._fs.listStatus(self._hadoop.Path(f"{self.path}/manifest")) if (n := s.getPath().getName()).endswith(".json") and n[:-5].isdigit())
+
+    def _file(self, version: int):
+        return self._hadoop.Path(f"{self.path}/manifest/{version:012d}.json")
+
+    def _load(self, version: int) -> Manifest | None:
+        """A manifest; None if it is not whole, as its writer is at it or died."""
+        stream = self._fs.open(self._file(version))
         try:
             return Manifest.loads(bytes(stream.readAllBytes()).decode())
+        except ValueError:
+            return None
         finally:
             stream.close()
 
+    def manifest(self) -> Manifest:
+        """The newest manifest; an empty one for a new store."""
+        for version in reversed(self._versions()):
+            if found := self._load(version):
+                return found
+        return Manifest()
+
     def commit(self, new: Manifest) -> Manifest:
-        """Makes new the manifest after the one it was derived from; raises if another writer was faster."""
-        new = replace(new, version=new.version + 1)
-        draft = self._hadoop.Path(f"{self.path}/manifest/.{uuid.uuid4().hex}")
-        final = self._hadoop.Path(f"{self.path}/manifest/{new.version:012d}.json")
-        stream = self._fs.create(draft)
-        stream.write(bytearray(new.dumps().encode()))
-        stream.close()
-        if self._fs.exists(final) or not self._fs.rename(draft, final):
-            self._fs.delete(draft, False)
-            raise Superseded("another transaction was committed meanwhile")
+        """Makes new the manifest after the one it was derived from; raises if another writer was faster, or a folder that it names is gone."""
+        top = max(self._versions(), default=0)
+        if top > new.version:
+            age = time.time() - self._fs.getFileStatus(self._file(top)).getModificationTime() / 1000
+            if self._load(top) or age < GRACE_SECONDS:
+                raise Superseded("another transaction was committed meanwhile")
+        new = replace(new, version=max(top, new.version) + 1)
+        for folder in {*new.log, *([new.intervals] if new.intervals else [])}:
+            if not self._fs.exists(self._hadoop.Path(f"{self.path}/{folder}")):
+                raise Superseded(f"{folder} was deleted meanwhile")
+        self._create(self._file(new.version), new.dumps().encode())
         return new
 
+    def _create(self, final, content: bytes) -> None:
+        """Writes a file under a name that none has; raises if one has it, however close the race."""
+        jvm, local = self.spark.sparkContext._jvm, self._fs.getUri().getScheme() == "file"
+        target = self._hadoop.Path(f"{self.path}/manifest/.{uuid.uuid4().hex}") if local else final
+        try:
+            stream = self._fs.create(target, False)
+            stream.write(bytearray(content))
+            stream.close()
+            if local:
+                # Local files can be overwritten by a race or a rename; a link to a whole file can't.
+                path = lambda p: jvm.java.io.File(p.toUri().getPath()).toPath()
+                jvm.java.nio.file.Files.createLink(path(final), path(target))
+        except Py4JJavaError as e:
+            if "AlreadyExists" in str(e.java_exception.getClass().getName()):
+                raise Superseded("another transaction was committed meanwhile") from None
+            raise
+        finally:
+            if local:
+                self._fs.delete(target, False)
+
     def write(self, datoms: DataFrame, kind: str) -> str:
-        """Datoms as files by attribute; the folder's name."""
+        """Datoms as files by attribute, each of a range of entities and sorted by them; small ones of a transaction come together. The folder's name."""
         name = f"{kind}/part={uuid.uuid4().hex}"
-        datoms.select(*LOG_SCHEMA.names).write.partitionBy("a").option("parquet.bloom.filter.enabled#e", "true").parquet(f"{self.path}/{name}")
+        rows = datoms.select(*LOG_SCHEMA.names).repartitionByRange("a", "e").sortWithinPartitions("a", "e", "valid_from", "t")
+        out = rows.write.partitionBy("a")
+        for c in ("e", "v_str", "v_int", "v_ref"):
+            out = out.option(f"parquet.bloom.filter.enabled#{c}", "true")
+        out.parquet(f"{self.path}/{name}")
+        self._fs.mkdirs(self._hadoop.Path(f"{self.path}/{name}"))
         return name
 
     def _read(self, folders: tuple[str, ...]) -> DataFrame:
@@ -90,10 +137,18 @@ class LogStore:
         """All datoms as written."""
         return self._read(m.log)
 
-    def intervals(self, m: Manifest, attributes: list[int] | None = None) -> DataFrame:
-        """All datoms with their intervals closed: from the compacted table, but for facts touched since, which are resolved anew."""
-        many = sorted({a.id for a in m.catalog.attributes if a.cardinality == MANY})
-        only = (lambda df: df.where(F.col("a").isin(attributes))) if attributes is not None else (lambda df: df)
+    @staticmethod
+    def _many(m: Manifest) -> list[int]:
+        return sorted({a.id for a in m.catalog.attributes if a.cardinality == MANY})
+
+    def intervals(self, m: Manifest, attributes: list[int] | None = None, of: DataFrame | None = None) -> DataFrame:
+        """All datoms with their intervals closed: from the compacted table, but for facts touched since, which are resolved anew. of: only of these (e, a)."""
+        many = self._many(m)
+
+        def only(df: DataFrame) -> DataFrame:
+            df = df if attributes is None else df.where(F.col("a").isin(attributes))
+            return df if of is None else df.join(of, ["e", "a"], "left_semi").select(*LOG_SCHEMA.names)
+
         if m.intervals is None:
             return close_intervals(only(self.log(m)), many)
         base = only(self._read((m.intervals,)))
@@ -110,8 +165,18 @@ class LogStore:
             rows = self.log(m)
             rows = rows if attributes is None else rows.where(F.col("a").isin(attributes))
             return rows if ts is None else rows.where(F.col("valid_from") <= ts)
-        rows = self.intervals(m, attributes)
-        return current(rows) if ts is None else as_of(rows, ts)
+        only = (lambda df: df.where(F.col("a").isin(attributes))) if attributes is not None else (lambda df: df)
+        if m.intervals is None:
+            return holding(only(self.log(m)), self._many(m), ts)
+        base = only(self._read((m.intervals,)))
+        base = current(base) if ts is None else as_of(base, ts)
+        tail = tuple(f for f in m.log if f not in m.covered)
+        if not tail:
+            return base
+        # What was compacted and is untouched since holds as it did.
+        touched = only(self._read(tail)).select("e", "a").distinct()
+        anew = only(self.log(m)).join(touched, ["e", "a"], "left_semi").select(*LOG_SCHEMA.names)
+        return base.join(touched, ["e", "a"], "left_anti").select(*LOG_SCHEMA.names).unionByName(holding(anew, self._many(m), ts))
 
     def compact(self) -> Manifest:
         """Writes the whole log as closed intervals, and the log's many small folders as one. Earlier files stay for readers that hold them; see vacuum."""
@@ -121,16 +186,21 @@ class LogStore:
         intervals = self.write(self.intervals(m), "intervals")
         return self.commit(replace(m, intervals=intervals, covered=log))
 
-    def vacuum(self) -> int:
-        """Deletes folders that the newest manifest does not name, and older manifests. Returns the number of folders deleted."""
-        m, gone = self.manifest(), 0
+    def vacuum(self, retain_seconds: float = RETAIN_SECONDS) -> int:
+        """Deletes folders that the newest manifest does not name, and older manifests, once they are retain_seconds old: until then a transaction may be about to name them, or a reader hold
+        them. Returns the number of folders deleted."""
+        m, gone, limit = self.manifest(), 0, time.time() - retain_seconds
+
+        def old(status) -> bool:
+            return status.getModificationTime() / 1000 <= limit
+
         for kind in ("log", "intervals"):
             folder = self._hadoop.Path(f"{self.path}/{kind}")
             for s in self._fs.listStatus(folder) if self._fs.exists(folder) else []:
-                if f"{kind}/{s.getPath().getName()}" not in {*m.log, m.intervals}:
+                if f"{kind}/{s.getPath().getName()}" not in {*m.log, m.intervals} and old(s):
                     self._fs.delete(s.getPath(), True)
                     gone += 1
         for s in self._fs.listStatus(self._hadoop.Path(f"{self.path}/manifest")):
-            if s.getPath().getName() != f"{m.version:012d}.json":
+            if s.getPath().getName() < f"{m.version:012d}.json" and old(s):
                 self._fs.delete(s.getPath(), False)
         return gone
