@@ -14,13 +14,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.errors import PlanError
-from tesserae.shared import discard, written
+from tesserae.shared import written
 
 from .ast import Call, Not, Or, Pattern, Rule, RuleCall, RuleSet, Var, variables
 from .compiler import Compiler, Context, col
 
 MAX_ROUNDS = 1000
 HOPS = 4
+#: Rounds after which a growing relation is written as one table.
+GATHER = 4
 
 
 def calls_in(node: Any) -> list[RuleCall]:
@@ -130,27 +132,31 @@ class Rules:
         return self._body(base[0]).distinct()
 
     def _doubled(self, step: DataFrame) -> DataFrame:
-        """Paths of up to 2, 4, 8, ... steps, until none is new."""
-        paths = written(step, "paths")
-        size = paths.count()
-        for _ in range(MAX_ROUNDS):
-            a = paths.select("col0", F.col("col1").alias("mid"))
-            b = paths.select(F.col("col0").alias("mid"), "col1")
-            longer = written(paths.union(a.join(b, "mid").select("col0", "col1")).distinct(), "paths")
-            n = longer.count()
-            discard(paths)
-            paths = longer
-            if n == size:
+        """Paths of up to 2, 4, 8, ... steps, until none is new. A new path is two known ones, of which one is of the last round."""
+        paths = fresh = written(step, "paths")
+        for turn in range(MAX_ROUNDS):
+            a, b = (fresh.select("col0", F.col("col1").alias("mid")), paths.select("col0", F.col("col1").alias("mid"))), (paths.select(F.col("col0").alias("mid"), "col1"), fresh.select(F.col("col0").alias("mid"), "col1"))
+            longer = a[0].join(b[0], "mid").select("col0", "col1")
+            if turn:
+                longer = longer.union(a[1].join(b[1], "mid").select("col0", "col1"))
+            fresh = written(longer.distinct().join(paths, ["col0", "col1"], "left_anti"), "paths")
+            if fresh.isEmpty():
                 return paths
-            size = n
+            paths = self._gathered(paths, fresh, turn)
         raise PlanError(f"a rule did not end in {MAX_ROUNDS} rounds")
 
+    @staticmethod
+    def _gathered(total: DataFrame, fresh: DataFrame, turn: int) -> DataFrame:
+        """Both as one; every so many rounds as one table, so that no plan grows with the rounds."""
+        total = total.unionByName(fresh)
+        return written(total, "total") if turn % GATHER == GATHER - 1 else total
+
     def _reached(self, step: DataFrame, place: int, value: Any) -> DataFrame:
         """What is reached from one end, by frontier."""
         here, there = f"col{place}", f"col{1 - place}"
         step = written(step, "step")
         found = frontier = written(step.where(F.col(here) == F.lit(value)).select(there), "reached")
-        for _ in range(MAX_ROUNDS):
+        for turn in range(MAX_ROUNDS):
             if frontier.isEmpty():
                 fixed = F.lit(value).cast(step.schema[here].dataType).alias(here)
                 return found.select(*[fixed if c == here else F.col(c) for c in ("col0", "col1")])
@@ -163,7 +169,7 @@ class Rules:
             for h in hops[1:]:
                 new = new.union(h)
             frontier = written(new.distinct().join(found, there, "left_anti"), "reached")
-            found = found.union(frontier)
+            found = self._gathered(found, frontier, turn)
         raise PlanError(f"a rule did not end in {MAX_ROUNDS} rounds")
 
     # Fixpoints
@@ -189,7 +195,7 @@ class Rules:
                 width = len(self.rules[n][0].head)
                 kind = kinds[0].dataType
                 total[n] = delta[n] = self.context.spark.createDataFrame([], ", ".join(f"col{i} {kind.simpleString()}" for i in range(width)))
-        for _ in range(MAX_ROUNDS):
+        for turn in range(MAX_ROUNDS):
             fresh = {}
             for n in group:
                 parts = []
@@ -208,7 +214,7 @@ class Rules:
             if all(f.isEmpty() for f in fresh.values()):
                 return total
             delta = {n: fresh.get(n, total[n].limit(0)) for n in group}
-            total = {n: total[n].unionByName(fresh[n]) if n in fresh else total[n] for n in group}
+            total = {n: self._gathered(total[n], fresh[n], turn) if n in fresh else total[n] for n in group}
         raise PlanError(f"rule {group[0]} did not end in {MAX_ROUNDS} rounds")
 
 

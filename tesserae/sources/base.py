@@ -29,6 +29,12 @@ class FactSource(Protocol):
     def star(self, idents: list[str]) -> DataFrame | None:
         """(e, v0, v1, ...) of the entities that have all of these attributes, or None if one row an entity can't be had."""
 
+    #: Whether rows of an entity have to be gathered, so that it pays to say which entities are wanted.
+    aggregates: bool
+
+    def outer_star(self, idents: list[str], entities: DataFrame | None) -> DataFrame:
+        """(e, v0, v1, ...) of the entities that have any of these attributes of one group, one row each; of the wanted ones at least."""
+
     def star_group(self, ident: str) -> str | None:
         """Attributes of an equal group can be read together; None: never."""
 
@@ -59,6 +65,15 @@ class LogFacts:
     def star_group(self, ident: str) -> str | None:
         return None if self.history or self.attribute(ident).cardinality == MANY else "log"
 
+    aggregates = True
+
+    def outer_star(self, idents: list[str], entities: DataFrame | None) -> DataFrame:
+        own = [self.attribute(i) for i in idents]
+        rows = self.rows(sorted({a.id for a in own}))
+        if entities is not None:
+            rows = rows.join(entities.select("e").distinct(), "e", "left_semi")
+        return rows.groupBy("e").agg(*[F.max(F.when(F.col("a") == a.id, _output(a))).alias(f"v{i}") for i, a in enumerate(own)])
+
     def star(self, idents: list[str]) -> DataFrame | None:
         own = [self.attribute(i) for i in idents]
         # One pass over the attributes' partitions and one aggregation by entity, in place of a self-join for each attribute.

@@ -82,6 +82,15 @@ class WideFacts:
         self.attribute(ident)
         return self.tables[ident].name
 
+    aggregates = False
+
+    def outer_star(self, idents: list[str], entities: DataFrame | None) -> DataFrame:
+        t = self.tables[idents[0]]
+        some = F.lit(False)
+        for i in idents:
+            some = some | self._value(i).isNotNull()
+        return t.frame.where(some).select(t.key.cast("long").alias("e"), *[self._value(x).alias(f"v{i}") for i, x in enumerate(idents)])
+
     def star(self, idents: list[str]) -> DataFrame | None:
         t = self.tables[idents[0]]
         rows = t.frame
