@@ -60,6 +60,13 @@ def call(name: str, args: list[Column], kinds: list[T.DataType | None]) -> Colum
         return a + b if name == "+" else a - b if name == "-" else a * b
     if name == "str":
         return F.concat_ws("", *[a.cast("string") for a in args])
+    if name == "concat":
+        # Nulls are left out.
+        return F.concat_ws("", *[a.cast("string") for a in args])
+    if name == "log" and len(args) == 1:
+        return F.log10(args[0])
+    if name == "make_array":
+        return F.array(*args)
     if name == "sha256":
         return F.sha2(args[0].cast("binary"), 256)
     name = _RENAMED.get(name, name)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.database import Database, WideDatabase, run_query
-from tesserae.operators.temporal import as_of, close_intervals, current
+from tesserae.operators.temporal import holding
 from tesserae.shared import shared_dir
 from tesserae.sources.base import LogFacts
 from tesserae.sources.catalogue import tables
@@ -56,6 +56,13 @@ DATALOG: dict[str, tuple[list[str], str, dict[str, Any], str]] = {
     "d_fn_as_predicate": (_C, '[:find ?c :where [?c :customer/segment ?s] [(starts_with ?s "A")]]', {}, "SELECT c_custkey AS c FROM customer WHERE c_mktsegment LIKE 'A%'"),
     "d_fn_numeric": (_P, "[:find ?p ?x :where [?p :part/price ?v] [(floor ?v) ?x]]", {}, "SELECT p_partkey AS p, floor(p_retailprice)::BIGINT AS x FROM part"),
     "d_bind_unify": (_P, "[:find ?p :where [?p :part/size ?s] [(+ ?p 0) ?s]]", {}, "SELECT p_partkey AS p FROM part WHERE p_partkey = p_size"),
+    "d_bind_tuple": (_P, "[:find ?p ?x ?y :where [?p :part/size ?s] [(+ ?s 1) ?t] [(make_array ?s ?t) [?x ?y]]]", {}, "SELECT p_partkey AS p, p_size::BIGINT AS x, p_size::BIGINT + 1 AS y FROM part"),
+    "d_bind_relation": (_P, "[:find ?p ?x :where [?p :part/size ?s] [(+ ?s 100) ?t] [(make_array ?s ?t) [[?x]]]]", {}, "SELECT p_partkey AS p, p_size::BIGINT AS x FROM part UNION ALL SELECT p_partkey, p_size::BIGINT + 100 FROM part"),
+    "d_literal_tx": (["nation"], "[:find ?x :where [?n :nation/name ?x 0]]", {}, "SELECT n_name AS x FROM nation"),
+    "d_literal_op": (["nation"], "[:find ?x :where [?n :nation/name ?x _ true] [?n :nation/region 3]]", {}, "SELECT n_name AS x FROM nation WHERE n_regionkey = 3"),
+    "d_fn_log": (_P, "[:find ?p ?l :where [?p :part/size ?s] [(log ?s) ?l]]", {}, "SELECT p_partkey AS p, log10(p_size) AS l FROM part"),
+    "d_fn_concat": (_D, '[:find ?d ?x :where [?d :doc/lang ?l] [?d :doc/source ?s] [(concat ?l "-" ?s) ?x]]', {}, "SELECT doc_id AS d, concat(lang, '-', source) AS x FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL"),
+    "d_lineitem_two_relations": (_L, '[:find ?o ?n ?q :where [?i :item/order ?o] (or-join [?i] [?i :item/flag "R"] [?i :item/status "F"]) [?i :item/number ?n] [?i :item/quantity ?q]]', {}, "SELECT l_orderkey AS o, l_linenumber::BIGINT AS n, l_quantity AS q FROM lineitem WHERE l_returnflag = 'R' OR l_linestatus = 'F'"),
     "d_or": (_O, '[:find ?o :where (or [?o :order/status "P"] [?o :order/priority "1-URGENT"])]', {}, "SELECT o_orderkey AS o FROM orders WHERE o_orderstatus = 'P' OR o_orderpriority = '1-URGENT'"),
     "d_or_join": (_O, '[:find ?o ?t :where [?o :order/total ?t] (or-join [?o] [?o :order/status "P"] [?o :order/priority "5-LOW"])]', {}, "SELECT o_orderkey AS o, o_totalprice AS t FROM orders WHERE o_orderstatus = 'P' OR o_orderpriority = '5-LOW'"),
     "d_or_predicates": (_P, "[:find ?p :where [?p :part/size ?s] (or [(< ?s 5)] [(> ?s 45)])]", {}, "SELECT p_partkey AS p FROM part WHERE p_size < 5 OR p_size > 45"),
@@ -68,11 +75,14 @@ DATALOG: dict[str, tuple[list[str], str, dict[str, Any], str]] = {
     "d_in_relation": (_O, "[:find ?o ?s ?p :in [[?s ?p]] :where [?o :order/status ?s] [?o :order/priority ?p]]", {"inputs": [[("F", "2-HIGH"), ("P", "5-LOW")]]}, "SELECT o_orderkey AS o, o_orderstatus AS s, o_orderpriority AS p FROM orders WHERE (o_orderstatus = 'F' AND o_orderpriority = '2-HIGH') OR (o_orderstatus = 'P' AND o_orderpriority = '5-LOW')"),
     "d_rule_simple": ([*_C, *_N], "[:find ?r (count ?c) :where (in-region ?c ?r)]", {"rules": PLACES}, "SELECT n_regionkey::BIGINT AS r, count(*) AS count_c FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1"),
     "d_rule_multi_def": (_O, "[:find (count ?o) :where (big ?o)]", {"rules": RICH}, "SELECT count(*) AS count_o FROM (SELECT o_orderkey FROM orders WHERE o_totalprice > 250000 UNION ALL SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')"),
-    "d_rule_recursive": (["turns"], "[:find ?x ?y :where (before ?x ?y)]", {"rules": PRIOR}, "SELECT a.conv_id * 1000 + a.turn AS x, b.conv_id * 1000 + b.turn AS y FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn < a.turn"),
-    "d_rule_recursive_bound": (["turns"], "[:find ?y :where (before 12005 ?y)]", {"rules": PRIOR}, "SELECT 12000 + turn AS y FROM conversations WHERE conv_id = 12 AND turn < 5 AND EXISTS (SELECT 1 FROM conversations WHERE conv_id = 12 AND turn = 5)"),
+    "d_rule_recursive": (["turns"], "[:find ?x ?y :where (before ?x ?y)]", {"rules": PRIOR}, "SELECT a.conv_id * 16777216 + a.turn AS x, b.conv_id * 16777216 + b.turn AS y FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn < a.turn"),
+    "d_rule_recursive_bound": (["turns"], "[:find ?y :where (before 201326597 ?y)]", {"rules": PRIOR}, "SELECT 201326592 + turn AS y FROM conversations WHERE conv_id = 12 AND turn < 5 AND EXISTS (SELECT 1 FROM conversations WHERE conv_id = 12 AND turn = 5)"),
     "a_count": (_D, "[:find (count ?q) :where [?d :doc/quality ?q]]", {}, "SELECT count(quality) AS count_q FROM labels"),
     "a_sum": (_L, "[:find (sum ?n) :where [?i :item/number ?n]]", {}, "SELECT sum(l_linenumber)::BIGINT AS sum_n FROM lineitem"),
     "a_avg": (_P, "[:find ?b (avg ?s) :where [?p :part/brand ?b] [?p :part/size ?s]]", {}, "SELECT p_brand AS b, avg(p_size) AS avg_s FROM part GROUP BY 1"),
+    "a_mean": (_P, "[:find ?b (mean ?v) :where [?p :part/brand ?b] [?p :part/price ?v]]", {}, "SELECT p_brand AS b, avg(p_retailprice) AS mean_v FROM part GROUP BY 1"),
+    "a_stddev": (_P, "[:find ?b (stddev ?s) (stddev_pop ?s) :where [?p :part/brand ?b] [?p :part/size ?s]]", {}, "SELECT p_brand AS b, round(stddev_samp(p_size), 9) AS stddev_s, round(stddev_pop(p_size), 9) AS stddev_pop_s FROM part GROUP BY 1"),
+    "a_variance": (_P, "[:find ?b (var_samp ?s) (var_pop ?s) :where [?p :part/brand ?b] [?p :part/size ?s]]", {}, "SELECT p_brand AS b, round(var_samp(p_size), 9) AS var_samp_s, round(var_pop(p_size), 9) AS var_pop_s FROM part GROUP BY 1"),
     "a_min_max": (_O, "[:find ?s (min ?t) (max ?t) :where [?o :order/status ?s] [?o :order/total ?t]]", {}, "SELECT o_orderstatus AS s, min(o_totalprice) AS min_t, max(o_totalprice) AS max_t FROM orders GROUP BY 1"),
     "a_median": (_P, "[:find (median ?s) :where [?p :part/size ?s]]", {}, "SELECT median(p_size) AS median_s FROM part"),
     "a_bool": (_O, '[:find ?s (bool_or ?b) (bool_and ?b) :where [?o :order/status ?s] [?o :order/total ?t] [(> ?t 1000.0) ?b]]', {}, "SELECT o_orderstatus AS s, bool_or(o_totalprice > 1000) AS bool_or_b, bool_and(o_totalprice > 1000) AS bool_and_b FROM orders GROUP BY 1"),
@@ -86,10 +96,18 @@ DATALOG: dict[str, tuple[list[str], str, dict[str, Any], str]] = {
 }
 
 
+#: Results that are rounded, as sums in another order differ in the last digits.
+ROUNDED = {"a_stddev": ("stddev_s", "stddev_pop_s"), "a_variance": ("var_samp_s", "var_pop_s")}
+
+
 def _datalog(names: list[str], text: str, options: dict[str, Any]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: WideDatabase(spark, tables(spark, sf_dir, names)).query(text, **options)
 
 
+def _rounded(query: Callable[[SparkSession, str], DataFrame], columns: tuple[str, ...]) -> Callable[[SparkSession, str], DataFrame]:
+    return (lambda spark, sf_dir: query(spark, sf_dir).withColumns({c: F.round(c, 9) for c in columns})) if columns else query
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = WideDatabase(spark, tables(spark, sf_dir, ["customer", "orders"])).query(FLAGSHIP)
     return found.select("seg", F.round("sum_tot", 2).alias("sum_tot"))
@@ -116,6 +134,17 @@ def p_pull_wildcard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return json_rows(WideDatabase(spark, tables(spark, sf_dir, ["nation", "region"])).query("[:find ?n (pull ?n [*]) :where [?n :nation/region 1]]"))
 
 
+def p_pull_constant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entity is a constant of the clause."""
+    found = WideDatabase(spark, tables(spark, sf_dir, ["customer"])).query("[:find (pull ?c [:customer/name :customer/segment :customer/acctbal]) :where [42 :customer/name _]]")
+    return found.select(*[F.col("pull_c")[f":customer/{c}"].alias(c) for c in ("name", "segment", "acctbal")])
+
+
+def a_array_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = WideDatabase(spark, tables(spark, sf_dir, ["nation"])).query("[:find ?r (array_agg ?x) :where [?n :nation/region ?r] [?n :nation/name ?x]]")
+    return found.select("r", F.array_join(F.array_sort("array_agg_x"), ",").alias("names"))
+
+
 # The events as a log: a user's event type from one event to the next, valid from the event's time, in transaction event_id.
 
 EVENT_CATALOG = Catalog().with_new(":user/event", "String").with_new(":user/value", "Float64").with_new(":user/kinds", "String", cardinality=MANY)
@@ -147,9 +176,7 @@ class EventFacts(LogFacts):
             log = log.unionByName(event_log(self.spark, self.sf_dir, a.ident))
         if self.history:
             return log
-        many = [a.id for a in own if a.cardinality == MANY]
-        closed = close_intervals(log, many)
-        return current(closed) if self.ts is None else as_of(closed, self.ts)
+        return holding(log, [a.id for a in own if a.cardinality == MANY], self.ts)
 
 
 def _events(text: str, **view: Any) -> Callable[[SparkSession, str], DataFrame]:
@@ -157,17 +184,14 @@ def _events(text: str, **view: Any) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def t_compaction_equiv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The current events out of a store: most compacted, the last tenth of transactions not."""
-    store = Database(spark, f"{shared_dir(spark)}/events-{id(spark)}-{abs(hash(sf_dir))}").store
-    m = store.manifest()
-    if not m.log:
-        from dataclasses import replace
-
-        log = event_log(spark, sf_dir)
-        cut = "t % 10 != 0"
-        m = store.commit(replace(m, log=(store.write(log.where(cut), "log"),), catalog=EVENT_CATALOG, last_tx=1))
-        m = store.compact()
-        store.commit(replace(m, log=(*m.log, store.write(log.where(f"NOT ({cut})"), "log"))))
+    """The current events out of a store: most compacted, every tenth event written after that."""
+    from dataclasses import replace
+
+    store = _fresh(spark, "events").store
+    log, cut = event_log(spark, sf_dir), "t % 10 != 0"
+    store.commit(replace(store.manifest(), log=(store.write(log.where(cut), "log"),), catalog=EVENT_CATALOG, last_tx=1))
+    m = store.compact()
+    store.commit(replace(m, log=(*m.log, store.write(log.where(f"NOT ({cut})"), "log"))))
     return run_query(spark, LogFacts(store, store.manifest()), "[:find ?u ?k :where [?u :user/event ?k]]")
 
 
@@ -236,6 +260,38 @@ def w_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     return db.query("[:find ?e ?k :where [?e :a/key ?k]]")
 
 
+def s_edn_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each region is written by an EDN map, its kind by an EDN assertion that a retraction and another one follow."""
+    db = _fresh(spark, "edn")
+    names = {r[0] + 1: r[1] for r in spark.read.parquet(f"{sf_dir}/region.parquet").select("r_regionkey", "r_name").collect()}
+    db.transact("[" + " ".join(f'{{:db/id {k} :place/name "{n}"}} [:db/add {k} :place/kind "new"]' for k, n in names.items()) + "]", 100)
+    db.transact("[" + " ".join(f'[:db/retract {k} :place/kind "new"]' for k in names) + "]", 200)
+    db.transact("[" + " ".join(f'[:db/add {k} :place/kind "{"odd" if k % 2 else "even"}"]' for k in names) + "]", 300)
+    return db.query("[:find ?r ?n ?k :where [?r :place/name ?n] [?r :place/kind ?k]]")
+
+
+def s_json_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import json
+
+    db = _fresh(spark, "json")
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name", "n_regionkey").collect()
+    facts = [{"e": r[0] + 1, "ident": i, "v": v, "op": True} for r in rows for i, v in ((":land/name", r[1]), (":land/region", r[2]))]
+    db.transact_json(json.dumps({"facts": facts, "tx_time": 500}))
+    return db.query("[:find ?n ?x ?r :where [?n :land/name ?x] [?n :land/region ?r]]")
+
+
+def s_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers come as a stream, of which each micro-batch is a transaction."""
+    from tesserae.streaming.ingest import ingest
+
+    db = _fresh(spark, "stream")
+    supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    stream = spark.readStream.schema(supplier.schema).parquet(f"{sf_dir}/supplier.parquet")
+    rows = stream.select((F.col("s_suppkey") + 1).cast("long").alias("e"), F.lit(":supplier/balance").alias("ident"), F.col("s_acctbal").cast("double").alias("v_float"))
+    ingest(db, _wire(rows), f"{db.store.path}-checkpoint", 100).awaitTermination()
+    return db.query("[:find ?s ?b ?tx :where [?s :supplier/balance ?b ?tx]]")
+
+
 _EV = "SELECT user_id AS u, event_type AS k, event_id AS t, epoch_us(ts) AS f, lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events"
 AS_OF = 1_704_500_000_000_000
 
@@ -243,13 +299,18 @@ FUNCTIONS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "flagship": (flagship, "SELECT c_mktsegment AS seg, round(sum(o_totalprice), 2) AS sum_tot FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1"),
     "p_pull_simple": (p_pull_simple, "SELECT d.doc_id AS d, lang, quality::BIGINT AS quality FROM documents d LEFT JOIN labels USING (doc_id) WHERE lang = 'fr'"),
     "p_pull_nested": (p_pull_nested, "SELECT c_custkey AS c, c_name AS name, n_name AS nation, r_name AS region FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_mktsegment = 'BUILDING'"),
-    "p_pull_wildcard": (p_pull_wildcard, ""),
+    "a_array_agg": (a_array_agg, "SELECT n_regionkey::BIGINT AS r, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY 1"),
+    "s_edn_ingest": (s_edn_ingest, "SELECT r_regionkey + 1 AS r, r_name AS n, 'even' AS k FROM region WHERE r_regionkey % 2 = 1 UNION ALL SELECT r_regionkey + 1, r_name, 'odd' FROM region WHERE r_regionkey % 2 = 0"),
+    "s_json_ingest": (s_json_ingest, "SELECT n_nationkey + 1 AS n, n_name AS x, n_regionkey::BIGINT AS r FROM nation"),
+    "s_stream_ingest": (s_stream_ingest, "SELECT s_suppkey + 1 AS s, s_acctbal AS b, 1::BIGINT AS tx FROM supplier"),
+    "p_pull_constant": (p_pull_constant, "SELECT c_name AS name, c_mktsegment AS segment, c_acctbal AS acctbal FROM customer WHERE c_custkey = 42"),
+    "p_pull_wildcard": (p_pull_wildcard, "SELECT '{\"n\":' || n_nationkey || ',\"pull_n\":{\"nation/name\":\"' || n_name || '\",\"nation/region\":' || n_regionkey || coalesce(',\"region/name\":\"' || r_name || '\"', '') || '}}' AS json FROM nation LEFT JOIN region ON r_regionkey = n_nationkey WHERE n_regionkey = 1"),
     "t_now": (_events("[:find ?u ?k :where [?u :user/event ?k]]"), f"SELECT u, k FROM ({_EV}) WHERE n IS NULL"),
     "t_as_of": (_events("[:find ?u ?k :where [?u :user/event ?k]]", ts=AS_OF), f"SELECT u, k FROM ({_EV}) WHERE f <= {AS_OF} AND (n IS NULL OR n > {AS_OF})"),
     "t_history": (_events("[:find ?u ?k ?tx :where [?u :user/event ?k ?tx]]", history=True), "SELECT user_id AS u, event_type AS k, event_id AS tx FROM events"),
     "t_history_ops": (_events("[:find ?u (count ?k) :where [?u :user/event ?k _ true]]", history=True), "SELECT user_id AS u, count(*) AS count_k FROM events GROUP BY 1"),
     "t_star_now": (_events("[:find ?u ?k ?v :where [?u :user/event ?k] [?u :user/value ?v]]"), "SELECT user_id AS u, arg_max(event_type, ts) AS k, arg_max(value, ts) AS v FROM events GROUP BY 1"),
-    "t_temporal_self_join": (_events('[:find ?u (count ?t1) :where [?u :user/event "purchase" ?t1] [?u :user/event "login" ?t2] [(< ?t1 ?t2)]]', history=True), "SELECT a.user_id AS u, count(*) AS count_t1 FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_id < b.event_id WHERE a.event_type = 'purchase' AND b.event_type = 'login' GROUP BY 1"),
+    "t_temporal_self_join": (_events('[:find ?u (count ?t1) :where [?u :user/event "view" ?t1] [?u :user/event "purchase" ?t2] [(< ?t1 ?t2)]]', history=True), "SELECT a.user_id AS u, count(*) AS count_t1 FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_id < b.event_id WHERE a.event_type = 'view' AND b.event_type = 'purchase' GROUP BY 1"),
     "t_card_many_now": (_events("[:find ?u ?k :where [?u :user/kinds ?k]]"), "SELECT DISTINCT user_id AS u, event_type AS k FROM events"),
     "t_compaction_equiv": (t_compaction_equiv, f"SELECT u, k FROM ({_EV}) WHERE n IS NULL"),
     "w_transact_overwrite": (w_transact_overwrite, "SELECT p_partkey + 1 AS p, p_size::BIGINT AS s, 1::BIGINT AS tx, true AS op FROM part UNION ALL SELECT p_partkey + 1, p_size, 2, false FROM part WHERE (p_partkey + 1) % 3 = 0 UNION ALL SELECT p_partkey + 1, p_size + 100, 2, true FROM part WHERE (p_partkey + 1) % 3 = 0"),
@@ -260,7 +321,7 @@ FUNCTIONS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {n: _datalog(names, text, options) for n, (names, text, options, _) in DATALOG.items()} | {n: f for n, (f, _) in FUNCTIONS.items()}
+    return {n: _rounded(_datalog(names, text, options), ROUNDED.get(n, ())) for n, (names, text, options, _) in DATALOG.items()} | {n: f for n, (f, _) in FUNCTIONS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
