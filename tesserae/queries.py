@@ -286,7 +286,8 @@ def s_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     db = _fresh(spark, "stream")
     supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet")
-    stream = spark.readStream.schema(supplier.schema).parquet(f"{sf_dir}/supplier.parquet")
+    # A stream reads folders or patterns, not a file by its name.
+    stream = spark.readStream.schema(supplier.schema).parquet(f"{sf_dir}/supplier.parque[t]")
     rows = stream.select((F.col("s_suppkey") + 1).cast("long").alias("e"), F.lit(":supplier/balance").alias("ident"), F.col("s_acctbal").cast("double").alias("v_float"))
     ingest(db, _wire(rows), f"{db.store.path}-checkpoint", 100).awaitTermination()
     return db.query("[:find ?s ?b ?tx :where [?s :supplier/balance ?b ?tx]]")
