@@ -5,7 +5,7 @@ import random
 import corpus_pipeline
 from tesserae.llm import licenses
 
-from .test_operators import SMALL, bits_of, docs_of
+from .test_operators import SMALL, bits_of, brute_hits, brute_lines, docs_of, near_groups
 
 RNG = random.Random(11)
 
@@ -64,3 +64,57 @@ def test_license_stretches_longer_and_shorter_than_the_template():
     # Repeated words: the stretch that ends a text, and one start after another.
     words = licenses.words(b"licensed under licensed under " * 4000)
     assert licenses.Templates([("X", "licensed under the terms of X")], licenses.DICE).matches(words) == []
+
+
+def test_every_stage_by_brute_force(spark, tmp_path):
+    """Each stage on what the one before kept, against a plain version: copies, near copies, shared and short lines, benchmark passages, nulls, blanks, no letters."""
+    from tesserae.llm.common import table, written
+
+    rng = random.Random(21)
+    shared = [prose(12) for _ in range(3)] + ["Ok.", "All rights."]
+    items = [("q1", prose(14)), ("q2", prose(4))]
+    texts = ["\n".join([prose(30), rng.choice(shared), prose(25), "", rng.choice(shared)]) for _ in range(24)]
+    texts += [texts[1], texts[2] + "x"]
+    for t in texts[3:8]:  # near copies: a word replaced, in each of the longer lines of some
+        lines = t.split("\n")
+        w = lines[0].split()
+        w[rng.randrange(len(w))] = prose(1)
+        texts.append("\n".join([" ".join(w), *lines[1:]]))
+    texts += [f"{prose(9)} {items[0][1]} {prose(5)}", f"{prose(9)}, {items[1][1].upper()}!", "\n".join(shared), None, "", "  \n ", "12 34 !", "short"]
+    rows = [(i, t, "en", "ab"[i % 2]) for i, t in enumerate(texts)]
+    docs = docs_of(spark, rows)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = {i: t for i, t, _, _ in rows}
+    stages = dict(corpus_pipeline.STAGES)
+
+    def run(name):
+        nonlocal docs
+        docs = written(stages[name](spark, docs, str(tmp_path)), "stage")
+        return {r["doc_id"]: r["text"] for r in docs.collect()}
+
+    want = {i: t for i, t in want.items() if t is not None and any(c.isalpha() for c in t)}
+    assert run("language ID") == want
+    kept = dict(brute_lines(sorted(want.items()), ((30, 1),)))
+    want = {i: t for i, t in kept.items() if t == want[i] or t.strip()}
+    assert run("line dedup") == want
+    prints = {i: bits_of(texts[i]) for i in want}
+    group = near_groups(set(prints.values()))
+    first = {}
+    for i in sorted(want):
+        first.setdefault(group[prints[i]], i)
+    assert len(first) < len(want)
+    want = {i: t for i, t in want.items() if first[group[prints[i]]] == i}
+    assert run("SimHash near-dedup") == want
+    want = {i: t for i, t in want.items() if not brute_hits(t, items)[1]}
+    assert run("benchmark decontamination") == want
+    last = stages["mixing sources"](spark, docs, str(tmp_path)).collect()
+    assert {r["doc_id"]: r["text"] for r in last}.items() <= want.items()
+    size = {s: sum(len(t.split()) for i, t in want.items() if "ab"[i % 2] == s) for s in "ab"}
+    target = {"a": min(3 * size["a"], max(sum(size.values()) * 5 / 7, sum(size.values()) - 3 * size["b"]))}
+    target["b"] = sum(size.values()) - target["a"]
+    for s in "ab":
+        assert abs(sum(r["mix_words"] for r in last if r["source"] == s) - target[s]) <= 0.5
+    assert [r["mix_position"] for r in last] == sorted(r["mix_position"] for r in last)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
