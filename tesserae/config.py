@@ -17,8 +17,8 @@ from tesserae.errors import SerializationError
 class Settings:
     #: Whether a transaction may use attributes that are not yet defined.
     infer_schema: bool = True
-    #: Compacts after the transaction that leaves this many uncompacted ones; 0: only when compact() is called. Compaction rewrites
-    #: the whole log, so a large one is better compacted by a job of its own.
+    #: Compacts after the transaction that leaves this many uncompacted ones; 0: only when compact() is called. Now and then that rewrites
+    #: large files, so a large log is better compacted by a job of its own.
     compact_after: int = 0
 
     @classmethod

@@ -2,7 +2,8 @@
 
 Each transaction writes its datoms under a folder of its own, then a manifest with the files that make up the log, the schema and the last transaction. A
 manifest's name is taken by one writer only, so files of a transaction that failed are never read, and a reader that holds a manifest has
-a snapshot. Compaction writes the whole log as closed intervals, and a later reader resolves only facts touched since.
+a snapshot. Compaction writes the facts touched since the last one as closed intervals, a layer that hides these facts in the layers before it, and a later
+reader resolves only facts touched since. Files are rewritten only with others of like size, so what lies in a large one costs little ever after.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from py4j.protocol import Py4JJavaError
@@ -23,6 +25,8 @@ from .schema import LOG_SCHEMA, MANY, Catalog
 
 #: How long files that no manifest names are left alone, as a transaction in flight may be about to commit them.
 RETAIN_SECONDS = 7 * 86400
+#: A file set is rewritten once those smaller than it (or newer, for layers of intervals) come to a share of 1 in this of its size.
+TIER = 4
 #: A manifest that is not whole after this long has no writer any more.
 GRACE_SECONDS = 60
 
@@ -32,9 +36,9 @@ class Manifest:
     version: int = 0
     last_tx: int = 0
     last_ts: int = 0
-    #: Folders of the log, and those of them that the intervals cover.
+    #: Folders of the log, the layers of intervals, oldest first, and the folders of the log that these cover.
     log: tuple[str, ...] = ()
-    intervals: str | None = None
+    intervals: tuple[str, ...] = ()
     covered: tuple[str, ...] = ()
     catalog: Catalog = field(default_factory=Catalog)
     #: By stream, the last batch that was written.
@@ -46,7 +50,17 @@ class Manifest:
     @classmethod
     def loads(cls, text: str) -> "Manifest":
         d = json.loads(text)
-        return cls(d["version"], d["last_tx"], d["last_ts"], tuple(d["log"]), d["intervals"], tuple(d["covered"]), Catalog.from_json(d["catalog"]), d.get("streams", {}))
+        layers = d["intervals"] or ()
+        layers = (layers,) if isinstance(layers, str) else tuple(layers)  # one folder in stores of earlier versions
+        return cls(d["version"], d["last_tx"], d["last_ts"], tuple(d["log"]), layers, tuple(d["covered"]), Catalog.from_json(d["catalog"]), d.get("streams", {}))
+
+
+def _kept(sizes: list[int], more: int = 0) -> int:
+    """How many of the first file sets stay as they are: those before the first that is smaller than TIER times all after it and `more` together."""
+    for i, size in enumerate(sizes):
+        if size < TIER * (sum(sizes[i + 1 :]) + more):
+            return i
+    return len(sizes)
 
 
 class LogStore:
@@ -90,7 +104,7 @@ class LogStore:
             if self._load(top) or age < GRACE_SECONDS:
                 raise Superseded("another transaction was committed meanwhile")
         new = replace(new, version=max(top, new.version) + 1)
-        for folder in {*new.log, *([new.intervals] if new.intervals else [])}:
+        for folder in {*new.log, *new.intervals}:
             if not self._fs.exists(self._hadoop.Path(f"{self.path}/{folder}")):
                 raise Superseded(f"{folder} was deleted meanwhile")
         self._create(self._file(new.version), new.dumps().encode())
@@ -120,9 +134,10 @@ class LogStore:
         """Datoms as files by attribute, each of a range of entities and sorted by them; small ones of a transaction come together. The folder's name."""
         name = f"{kind}/part={uuid.uuid4().hex}"
         rows = datoms.select(*LOG_SCHEMA.names).repartitionByRange("a", "e").sortWithinPartitions("a", "e", "valid_from", "t")
-        out = rows.write.partitionBy("a")
+        # Adaptive: a file's filters have the size that its values call for, where a fixed one is a megabyte a column for three rows.
+        out = rows.write.partitionBy("a").option("parquet.bloom.filter.adaptive.enabled", "true")
         for c in ("e", "v_str", "v_int", "v_ref"):
-            out = out.option(f"parquet.bloom.filter.enabled#{c}", "true")
+            out = out.option(f"parquet.bloom.filter.enabled#{c}", "true").option(f"parquet.bloom.filter.candidates.number#{c}", "12")
         out.parquet(f"{self.path}/{name}")
         self._fs.mkdirs(self._hadoop.Path(f"{self.path}/{name}"))
         return name
@@ -149,15 +164,26 @@ class LogStore:
             df = df if attributes is None else df.where(F.col("a").isin(attributes))
             return df if of is None else df.join(of, ["e", "a"], "left_semi").select(*LOG_SCHEMA.names)
 
-        if m.intervals is None:
+        if not m.intervals:
             return close_intervals(only(self.log(m)), many)
-        base = only(self._read((m.intervals,)))
         tail = tuple(f for f in m.log if f not in m.covered)
         if not tail:
-            return base
+            return self._layered(m.intervals, only)
         touched = only(self._read(tail)).select("e", "a").distinct()
         anew = close_intervals(only(self.log(m)).join(touched, ["e", "a"], "left_semi").select(*LOG_SCHEMA.names), many)
-        return base.join(touched, ["e", "a"], "left_anti").select(*LOG_SCHEMA.names).unionByName(anew)
+        return self._layered(m.intervals, only, touched).unionByName(anew)
+
+    def _layered(self, layers: tuple[str, ...], only: Callable[[DataFrame], DataFrame], hidden: DataFrame | None = None) -> DataFrame:
+        """The intervals of layers, but for hidden facts: each fact's are in the last layer that has it. One join a layer, none of which reads another's result."""
+        found = None
+        for layer in reversed(layers):
+            rows = only(self._read((layer,)))
+            seen = rows if hidden is None else rows.join(hidden, ["e", "a"], "left_anti").select(*LOG_SCHEMA.names)
+            found = seen if found is None else found.unionByName(seen)
+            if layer != layers[0]:
+                facts = rows.select("e", "a")
+                hidden = (facts if hidden is None else hidden.unionByName(facts)).distinct()
+        return found
 
     def view(self, m: Manifest, ts: int | None = None, history: bool = False, attributes: list[int] | None = None) -> DataFrame:
         """What holds now (or held at ts), or with history every datom as it was written (up to ts)."""
@@ -166,25 +192,53 @@ class LogStore:
             rows = rows if attributes is None else rows.where(F.col("a").isin(attributes))
             return rows if ts is None else rows.where(F.col("valid_from") <= ts)
         only = (lambda df: df.where(F.col("a").isin(attributes))) if attributes is not None else (lambda df: df)
-        if m.intervals is None:
+        if not m.intervals:
             return holding(only(self.log(m)), self._many(m), ts)
-        base = only(self._read((m.intervals,)))
-        base = current(base) if ts is None else as_of(base, ts)
+        resolved = current if ts is None else lambda df: as_of(df, ts)
         tail = tuple(f for f in m.log if f not in m.covered)
         if not tail:
-            return base
+            return resolved(self._layered(m.intervals, only))
         # What was compacted and is untouched since holds as it did.
         touched = only(self._read(tail)).select("e", "a").distinct()
         anew = only(self.log(m)).join(touched, ["e", "a"], "left_semi").select(*LOG_SCHEMA.names)
-        return base.join(touched, ["e", "a"], "left_anti").select(*LOG_SCHEMA.names).unionByName(holding(anew, self._many(m), ts))
+        return resolved(self._layered(m.intervals, only, touched)).unionByName(holding(anew, self._many(m), ts))
+
+    def _bytes(self, folders: tuple[str, ...]) -> list[int]:
+        return [self._fs.getContentSummary(self._hadoop.Path(f"{self.path}/{f}")).getLength() for f in folders]
 
     def compact(self) -> Manifest:
-        """Writes the whole log as closed intervals, and the log's many small folders as one. Earlier files stay for readers that hold them; see vacuum."""
+        """Writes the facts touched since the last compaction as a layer of closed intervals, together with those layers that are not much larger, and the log's smaller
+        folders as one. Earlier files stay for readers that hold them; see vacuum. With nothing new to cover and nothing to merge, nothing is written.
+        """
         m = self.manifest()
-        log = (self.write(self.log(m), "log"),) if len(m.log) > 1 else m.log
-        m = replace(m, log=log, intervals=None, covered=())
-        intervals = self.write(self.intervals(m), "intervals")
-        return self.commit(replace(m, intervals=intervals, covered=log))
+        tail = tuple(f for f in m.log if f not in m.covered)
+        old = m.intervals[: _kept(self._bytes(m.intervals), sum(self._bytes(tail)))]
+        if tail or len(old) < len(m.intervals) - 1:
+            layers = (*old, self.write(self._top(m, len(old), tail), "intervals"))
+        else:
+            layers = m.intervals
+        # What is rewritten here holds the same rows, so the layers cover it.
+        sizes = dict(zip(m.log, self._bytes(m.log)))
+        by_size = tuple(sorted(m.log, key=lambda f: -sizes[f]))
+        large = by_size[: _kept([sizes[f] for f in by_size])]
+        if len(large) < len(by_size) - 1:
+            log = (*large, self.write(self._read(by_size[len(large) :]), "log"))
+        else:
+            log = m.log
+        if layers == m.intervals and log == m.log:
+            return m
+        return self.commit(replace(m, log=log, intervals=layers, covered=log))
+
+    def _top(self, m: Manifest, below: int, tail: tuple[str, ...]) -> DataFrame:
+        """The intervals of the facts that are in the tail or in layers after the first `below`."""
+        log, many, upper = self.log(m), self._many(m), m.intervals[below:]
+        if not m.intervals:
+            return close_intervals(log, many)
+        if not tail:
+            return self._layered(upper, lambda df: df)
+        touched = self._read(tail).select("e", "a").distinct()
+        anew = close_intervals(log.join(touched, ["e", "a"], "left_semi").select(*LOG_SCHEMA.names), many)
+        return self._layered(upper, lambda df: df, touched).unionByName(anew) if upper else anew
 
     def vacuum(self, retain_seconds: float = RETAIN_SECONDS) -> int:
         """Deletes folders that the newest manifest does not name, and older manifests, once they are retain_seconds old: until then a transaction may be about to name them, or a reader hold
@@ -197,7 +251,7 @@ class LogStore:
         for kind in ("log", "intervals"):
             folder = self._hadoop.Path(f"{self.path}/{kind}")
             for s in self._fs.listStatus(folder) if self._fs.exists(folder) else []:
-                if f"{kind}/{s.getPath().getName()}" not in {*m.log, m.intervals} and old(s):
+                if f"{kind}/{s.getPath().getName()}" not in {*m.log, *m.intervals} and old(s):
                     self._fs.delete(s.getPath(), True)
                     gone += 1
         for s in self._fs.listStatus(self._hadoop.Path(f"{self.path}/manifest")):

@@ -1,6 +1,7 @@
 """Scenarios over a log: time travel, history, logic, rules, pull, transactions, the store's safety, plans."""
 
 import json
+import random
 import uuid
 from dataclasses import replace
 
@@ -12,6 +13,7 @@ from tesserae.errors import CompareAndSwapFailed, InvalidQuery, ParseError, Plan
 from tesserae.plans.parser import parse_query
 from tesserae.sources.catalogue import row_id
 from tesserae.sources.edn import Fact
+from tesserae.sources.log import Manifest, _kept
 from tesserae.sources.schema import MANY
 from tesserae.sources.wide import WideTable
 from tesserae.sources.wire import wire_frame
@@ -189,11 +191,57 @@ def test_compacts_after_so_many_transactions(spark, tmp_path):
     for i in range(3):
         db.transact([Fact(3, ":gate/code", i + 40)], 100 * (i + 1))
         m = db.store.manifest()
-        folders.append((len(m.log), m.intervals is not None))
+        folders.append((len(m.log), bool(m.intervals)))
     assert folders == [(1, False), (1, True), (2, True)]
     assert values(db.query("[:find ?c :where [3 :gate/code ?c]]")) == [(42,)] and values(db.query("[:find ?c :where [3 :gate/code ?c]]", as_of=150)) == [(40,)]
 
 
+def test_compaction_leaves_large_files_alone(db, spark):
+    """Layers over a large one hide what they touch, until they are worth merging; views are those of a store that is never compacted."""
+    db.add_attribute(":berth/flag", "String", cardinality=MANY, now=1)
+    plain = Database(spark, db.store.path + "-plain")
+    plain.add_attribute(":berth/flag", "String", cardinality=MANY, now=1)
+    rng = random.Random(11)
+    first = [Fact(i, ":berth/depth", rng.random()) for i in range(1, 20_001)]
+    turns = [first + [Fact(i, ":berth/flag", f"f{i % 7}") for i in range(1, 9)]]
+    for _ in range(4):
+        some = [Fact(rng.randint(1, 12), ":berth/depth", rng.random(), rng.random() < 0.8, valid_time=rng.choice([None, rng.randint(50, 400)])) for _ in range(3)]
+        turns.append(some + [Fact(rng.randint(1, 8), ":berth/flag", f"f{rng.randint(0, 7)}", rng.random() < 0.6)])
+    turns.append([Fact(i, ":berth/depth", rng.random()) for i in range(10_000, 20_001)])
+    turns.append([Fact(4, ":berth/depth", 0.5)])
+    views = [("[:find ?b ?d :where [?b :berth/depth ?d] [(< ?b 13)]]", {}), ("[:find (sum ?d) (count ?b) :where [?b :berth/depth ?d]]", {}), ("[:find ?b ?f :where [?b :berth/flag ?f]]", {})]
+    views += [(views[0][0], {"as_of": 150}), (views[2][0], {"as_of": 350}), ("[:find ?d ?t ?o :where [4 :berth/depth ?d ?t ?o]]", {"history": True})]
+    bases, depths = [], []
+    for i, facts in enumerate(turns):
+        for d in (db, plain):
+            d.transact(facts, 100 * (i + 1))
+        if i != 3:  # one transaction stays in the tail for a turn
+            db.compact()
+            m = db.store.manifest()
+            assert m.log == m.covered
+            bases.append((m.intervals[0], max(m.log, key=lambda f: db.store._bytes((f,))[0])))
+            depths.append(len(m.intervals))
+        if i:
+            for text, options in views:
+                a, b = ([tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in values(d.query(text, **options))] for d in (db, plain))
+                assert a == b, (i, text, options)
+    assert len(set(bases[:4])) == 1 and max(depths[:4]) >= 2  # the large files were not written again
+    assert bases[4][0] != bases[3][0] and depths[4] == 1  # half as much again came on top
+    done = db.store.manifest()
+    assert db.store.compact() == done and done.version == db.store.manifest().version  # nothing new
+    assert db.vacuum(0) > 0 and values(db.query(views[0][0])) == values(plain.query(views[0][0]))
+
+
+def test_a_manifest_of_one_folder_of_intervals_is_read():
+    old = json.loads(Manifest().dumps()) | {"intervals": "intervals/part=1"}
+    assert Manifest.loads(json.dumps(old)).intervals == ("intervals/part=1",) and Manifest.loads(json.dumps(old | {"intervals": None})).intervals == ()
+
+
+def test_what_is_rewritten():
+    assert [_kept(s) for s in ([], [5], [5, 5], [100, 20, 1], [100, 30, 1], [100, 20, 5, 5], [100, 9, 9])] == [0, 1, 0, 3, 0, 0, 1]
+    assert _kept([100, 10], 2) == 2 and _kept([100, 10], 3) == 1 and _kept([100, 10], 16) == 0
+
+
 def test_writers_that_race(db, spark):
     """Of two transactions from one state one is refused, wherever the other was between; a name is taken once."""
     db.transact([Fact(1, ":bid/price", 5)], 10)
