@@ -195,6 +195,23 @@ def t_compaction_equiv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_query(spark, LogFacts(store, store.manifest()), "[:find ?u ?k :where [?u :user/event ?k]]")
 
 
+def t_compaction_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The current events out of a store of layers of intervals, each of fewer users than the one below, and what was written since."""
+    from dataclasses import replace
+
+    store = _fresh(spark, "layers").store
+    log = event_log(spark, sf_dir)
+    store.commit(replace(store.manifest(), catalog=EVENT_CATALOG, last_tx=1))
+    # Later parts hold some events of a tenth, then of a hundredth of the users, whose earlier ones lie below.
+    part = "CASE WHEN pmod(xxhash64(e), 100) = 0 THEN pmod(xxhash64(e, t, seq), 4) WHEN pmod(xxhash64(e), 100) < 10 THEN pmod(xxhash64(e, t, seq), 2) ELSE 0 END"
+    for i in range(4):
+        m = store.manifest()
+        store.commit(replace(m, log=(*m.log, store.write(log.where(f"{part} = {i}"), "log"))))
+        if i < 3:
+            store.compact()
+    return run_query(spark, LogFacts(store, store.manifest()), "[:find ?u ?k :where [?u :user/event ?k]]")
+
+
 def _fresh(spark: SparkSession, name: str) -> Database:
     import uuid
 
@@ -314,6 +331,7 @@ FUNCTIONS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "t_temporal_self_join": (_events('[:find ?u (count ?t1) :where [?u :user/event "view" ?t1] [?u :user/event "purchase" ?t2] [(< ?t1 ?t2)]]', history=True), "SELECT a.user_id AS u, count(*) AS count_t1 FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_id < b.event_id WHERE a.event_type = 'view' AND b.event_type = 'purchase' GROUP BY 1"),
     "t_card_many_now": (_events("[:find ?u ?k :where [?u :user/kinds ?k]]"), "SELECT DISTINCT user_id AS u, event_type AS k FROM events"),
     "t_compaction_equiv": (t_compaction_equiv, f"SELECT u, k FROM ({_EV}) WHERE n IS NULL"),
+    "t_compaction_layers": (t_compaction_layers, f"SELECT u, k FROM ({_EV}) WHERE n IS NULL"),
     "w_transact_overwrite": (w_transact_overwrite, "SELECT p_partkey + 1 AS p, p_size::BIGINT AS s, 1::BIGINT AS tx, true AS op FROM part UNION ALL SELECT p_partkey + 1, p_size, 2, false FROM part WHERE (p_partkey + 1) % 3 = 0 UNION ALL SELECT p_partkey + 1, p_size + 100, 2, true FROM part WHERE (p_partkey + 1) % 3 = 0"),
     "w_retract": (w_retract, "SELECT c_custkey + 1 AS c, c_mktsegment AS s FROM customer WHERE (c_custkey + 1) % 5 <> 0"),
     "w_cas": (w_cas, "SELECT 1::BIGINT AS e, 'new' AS s"),
