@@ -365,6 +365,16 @@ def test_line_dedup_of_crowded_keys(spark, monkeypatch, crowd, short, edits):
     assert sorted((r["doc_id"], r["clean_text"]) for r in out.collect()) == sorted(brute_lines(rows, edits))
 
 
+def test_line_dedup_query_takes_two_edits_of_long_lines(spark, tmp_path):
+    """By the query's own threshold a line of 100 characters goes for an earlier one two edits away, a shorter one only for one."""
+    rng = random.Random(9)
+    long, short = ("".join(rng.choices("abcdefgh ", k=n - 1)) + "x" for n in (100, 99))
+    rows = [(0, f"{long}\n{short}"), (1, "Z" + long[:50] + "Z" + long[51:]), (2, long[:20] + long[21:] + "ZZ"), (3, "Z" + short[:50] + "Z" + short[51:-1]), (4, short[:-1] + "Z")]
+    docs_of(spark, [(i, t, None, None) for i, t in rows]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["n_dropped"] for r in queries.op6_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {0: 0, 1: 1, 2: 0, 3: 0, 4: 1}
+
+
 def test_mixing(spark):
     rows = queries.op7_source_mixing(spark, SMALL).collect()
     source = {r["doc_id"]: (r["source"], r["text"]) for r in table(spark, SMALL, "documents").collect()}
