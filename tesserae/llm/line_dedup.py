@@ -32,7 +32,21 @@ def edits_within(a: Column, b: Column, limit: int) -> Column:
     State after j characters of b: for each number of errors e a word whose bit d + limit says that the first j + d characters of a are within e edits of
     them. All diagonals d of the band move at once by shifts, ands and ors.
     """
-    return let(F.split(a, ""), lambda x: let(F.split(b, ""), lambda y: _within(x, F.char_length(a), y, F.char_length(b), limit)))
+    return let(_unlike(a, b), lambda u: let(F.split(u["a"], ""), lambda x: let(F.split(u["b"], ""), lambda y: _within(x, F.char_length(u["a"]), y, F.char_length(u["b"]), limit))))
+
+
+def _alike(a: Column, b: Column) -> Column:
+    """How many characters a and b have in common at the start, or a few less; of equal strings, all or more. Found by halving, not by character."""
+    steps = F.transform(F.sequence(F.floor(F.log2(F.greatest(F.char_length(a), F.lit(1)))).cast("int"), F.lit(0)), lambda i: F.call_function("shiftleft", F.lit(1), i))
+    return F.aggregate(steps, F.lit(0), lambda p, n: p + F.when(F.substr(a, p + 1, n) == F.substr(b, p + 1, n), n).otherwise(0))
+
+
+def _unlike(a: Column, b: Column) -> Column:
+    """A struct of a and b without their common start and end: as many edits apart as a and b."""
+    both = F.struct(a.alias("a"), b.alias("b"))
+    for _ in range(2):
+        both = let(both, lambda s: let(_alike(s["a"], s["b"]), lambda p: F.struct(*[F.reverse(F.substr(s[c], p + 1)).alias(c) for c in "ab"])))
+    return both
 
 
 def _within(x: Column, m: Column, y: Column, n: Column, limit: int) -> Column:
