@@ -3,10 +3,10 @@
 A line goes when a line equal to it, or within a number of character edits of it that depends on the shorter one's length, comes earlier in the corpus. A line that
 may have k edits is cut into k + 1 segments, one of which an edit leaves alone whatever k edits do; it is indexed under its length and each segment. A line probes the indexes
 of its own length and of up to k characters less with the substrings that can stand where such a segment stood, by its number and the difference in length. Lines that
-share a key are verified by a bit-parallel automaton over the band of diagonals that k edits can reach.
+share a key, and whose letters do not tell that they are further apart, are verified by a bit-parallel automaton over the band of diagonals that k edits can reach.
 
 A key that very many lines share (a common opening, a running number) is never joined to itself. What it leaves of its lines is a problem of the same kind, of
-two pieces with k edits in all: the longest piece is cut again, until few lines share a key or little is left. Of that little, every variant with
+two pieces with k edits in all, i of them before a segment i: the longest piece is cut again, until few lines share a key or little is left. Of that little, every variant with
 up to k characters taken out or masked is made; two lines that meet in a variant are within the sum of what was taken from each and masked, so
 each is held against the earliest there, and no pairs are made at all.
 """
@@ -54,46 +54,38 @@ def _within(x: Column, m: Column, y: Column, n: Column, limit: int) -> Column:
     width = 2 * limit + 1
     mask = (1 << width) - 1
 
+    def levels(state: Column, match: Column, new: list[Column]) -> Column:
+        e = len(new)
+        if e > limit:
+            return F.struct(*[r.alias(f"r{i}") for i, r in enumerate(new)])
+        own = state[f"r{e}"].bitwiseAND(match)
+        if e:
+            old = state[f"r{e - 1}"]
+            own = own.bitwiseOR(old).bitwiseOR(F.shiftright(old, 1)).bitwiseOR(F.shiftleft(new[-1], 1)).bitwiseAND(F.lit(mask))
+        return let(own, lambda r: levels(state, match, [*new, r]))
+
     def step(state: Column, j: Column) -> Column:
-        ch = F.get(y, j)
         match = F.lit(0)
         for d in range(-limit, limit + 1):
-            match = match.bitwiseOR(F.when(F.get(x, j + d) == ch, F.lit(1 << (d + limit))).otherwise(0))
-        fields, new = [], None
-        for e in range(limit + 1):
-            own = state[f"r{e}"].bitwiseAND(match)
-            if e:
-                old = state[f"r{e - 1}"]
-                own = own.bitwiseOR(old).bitwiseOR(F.shiftright(old, 1)).bitwiseOR(F.shiftleft(new, 1)).bitwiseAND(F.lit(mask))
-            fields.append(own.alias(f"r{e}"))
-            new = own
-        return F.struct(*fields)
+            match = match.bitwiseOR(F.when(F.get(x, j + d) == F.get(y, j), F.lit(1 << (d + limit))).otherwise(0))
+        return let(match, lambda m: levels(state, m, []))
+
+    def fewest(end: Column) -> Column:
+        # Bit m - n + limit, where it is one of the band; a shift by more than the band leaves 0, one by less than 0 is ruled out.
+        bit = F.when(F.abs(m - n) <= limit, F.call_function("shiftleft", F.lit(1), m - n + limit)).otherwise(0)
+        found = F.lit(None).cast("int")
+        for e in reversed(range(limit + 1)):
+            found = F.when(end[f"r{e}"].bitwiseAND(bit) != 0, F.lit(e)).otherwise(found)
+        return found
 
     start = F.struct(*[F.lit(sum(1 << (d + limit) for d in range(e + 1))).alias(f"r{e}") for e in range(limit + 1)])
-    end = F.aggregate(F.sequence(F.lit(0), n - 1), start, step)
-    end = F.when(n > 0, end).otherwise(start)
-    off = m - n
-    found = F.lit(None).cast("int")
-    for e in reversed(range(limit + 1)):
-        hit = F.lit(False)
-        for d in range(-limit, limit + 1):
-            hit = hit | ((off == d) & (end[f"r{e}"].bitwiseAND(F.lit(1 << (d + limit))) != 0))
-        found = F.when(hit, F.lit(e)).otherwise(found)
-    return found
+    # Bound by let: an expression written twice is computed twice, and what stands inside a lambda is written out in every plan.
+    return let(F.when(n > 0, F.aggregate(F.sequence(F.lit(0), n - 1), start, step)).otherwise(start), fewest)
 
 
-def _agree(a: Column, b: Column, most: int, limit: Column) -> Column:
-    """Whether so many of 2 most + 2 segments of a stand in b too, shifted by `most` characters or fewer, as limit edits leave alone. Most pairs that merely share a key do not."""
-    n, parts = F.char_length(a), 2 * most + 2
-    found = F.lit(0)
-    for j in range(parts):
-        start, end = _cut(n, j, parts - 1), _cut(n, j + 1, parts - 1)
-        own = F.substr(a, start + 1, end - start)
-        same = F.lit(False)
-        for off in sorted(range(-most, most + 1), key=abs):
-            same = same | ((start + off >= 0) & (F.substr(b, F.greatest(start + off, F.lit(0)) + 1, end - start) == own))
-        found = found + same.cast("int")
-    return found >= parts - limit
+def _letters(line: Column) -> Column:
+    """Which characters, by code modulo 64, stand an odd number of times in a line, as bits. An edit changes two bits at most, so lines within k edits differ in 2 k or fewer."""
+    return F.aggregate(F.split(line, ""), F.lit(0).cast("long"), lambda s, c: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(c) % 64)))
 
 
 def allowed(n: Column, edits=EDITS) -> Column:
@@ -117,42 +109,23 @@ def _cut(size: Column, i: int, k: int) -> Column:
     return F.call_function("div", size * i, F.lit(k + 1)).cast("int")
 
 
-def _segment(line: Column, n: Column, k: int, more: int, i: int, off: int) -> tuple[Column, Column, Column]:
-    """Key, first character and end of the substring that would be segment i of a line `more` characters shorter."""
-    size = n - more
-    start, end = _cut(size, i, k), _cut(size, i + 1, k)
-    return F.xxhash64(F.lit(k * 64 + i), size, F.substr(line, start + off + 1, end - start)), start + off, end + off
-
-
-def _keys(line: Column, edits) -> Column:
-    """Structs (key, side) of a line: side 1 stands in the index, 2 probes it, 3 does both."""
-    n = F.char_length(line)
-    parts = []
-    for k in sorted({k for _, k in edits if k}):
-        for more in range(k + 1):
-            own = [F.struct(_segment(line, n, k, m, i, off)[0].alias("key"), F.lit(3 if m == off == 0 else 2).alias("side")) for m, i, off in _offsets(k) if m == more]
-            parts.append(F.when(allowed(n - more, edits) == k, F.array(*own)).otherwise(F.array().cast("array<struct<key: bigint, side: int>>")))
-    return F.flatten(F.array(*parts))
+def _segments(lines: DataFrame, edits, index: bool = False) -> DataFrame:
+    """A row of lines for each segment of its line that has a key, with the key, side (1 stands in the index, 2 probes it, 3 does both), k, i, more and off, and the segment's first
+    character and end. With index, segments stand once in the index for each (more, off) with which they may be probed.
 
-
-def _problems(line: Column, edits) -> Column:
-    """Structs of a line's keys with what they leave of it: for both sides the two pieces, and by how much longer the prober's are (delta)."""
-    n = F.char_length(line)
-    parts = []
-    kind = "array<struct<key: bigint, sub: bigint, side: int, k: int, delta: array<int>, pieces: array<string>>>"
-
-    def problem(k: int, m: int, i: int, off: int, side: int) -> Column:
-        key, start, end = _segment(line, n, k, m, i, off) if side > 1 else _segment(line, n, k, 0, i, 0)
-        pieces = F.array(F.substr(line, F.lit(1), start), F.substr(line, end + 1))
-        return F.struct(key.alias("key"), F.xxhash64(key, F.lit(m), F.lit(off)).alias("sub"), F.lit(side).alias("side"), F.lit(k).alias("k"), F.array(F.lit(off), F.lit(m - off)).alias("delta"), pieces.alias("pieces"))
-
-    for k in sorted({k for _, k in edits if k}):
-        for more in range(k + 1):
-            own = [problem(k, m, i, off, 3 if m == off == 0 else 2) for m, i, off in _offsets(k) if m == more]
-            parts.append(F.when(allowed(n - more, edits) == k, F.array(*own).cast(kind)).otherwise(F.array().cast(kind)))
-        index = [problem(k, m, i, off, 1) for m, i, off in _offsets(k) if m or off]
-        parts.append(F.when(allowed(n, edits) == k, F.array(*index).cast(kind)).otherwise(F.array().cast(kind)))
-    return F.flatten(F.array(*parts))
+    A row for each way and one short expression: all the ways in one expression make a method that the JVM refuses to compile.
+    """
+    ways = [(k, more, i, off, 3 if more == off == 0 else 2) for k in sorted({k for _, k in edits if k}) for more, i, off in _offsets(k)]
+    ways += [(k, more, i, off, 1) for k, more, i, off, side in ways if side == 2 and index]
+    way = F.array(*[F.struct(*[F.lit(x).alias(c) for c, x in zip(("k", "more", "i", "off", "side"), w, strict=True)]) for w in ways])
+    # The length is a column, so that it is counted once a line.
+    rows = lines.withColumn("n", F.char_length("line")).where(F.col("n") >= min(n for n, k in edits if k)).withColumn("way", F.explode(way)).select("*", "way.*").drop("way")
+    rows = rows.withColumn("size", F.when(F.col("side") > 1, F.col("n") - F.col("more")).otherwise(F.col("n"))).where(allowed(F.col("size"), edits) == F.col("k"))
+    shift = F.when(F.col("side") > 1, F.col("off")).otherwise(0)
+    for c, i in (("start", F.col("i")), ("end", F.col("i") + 1)):
+        rows = rows.withColumn(c, F.call_function("div", F.col("size") * i, F.col("k") + 1).cast("int") + shift)
+    key = F.xxhash64(F.col("k") * 64 + F.col("i"), "size", F.substr("line", F.col("start") + 1, F.col("end") - F.col("start")))
+    return rows.withColumn("key", key).drop("n", "size")
 
 
 def _shared(rows: DataFrame, name: str) -> DataFrame:
@@ -163,16 +136,17 @@ def _shared(rows: DataFrame, name: str) -> DataFrame:
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
-    """Pairs (ha, hb) of the rows (key, side, h) of which one is indexed and one probes."""
-    a = rows.where("side % 2 = 1").select("key", F.col("h").alias("a"))
-    b = rows.where("side >= 2").select("key", F.col("h").alias("b"))
-    return a.join(b, "key").where("a != b").select(F.least("a", "b").alias("ha"), F.greatest("a", "b").alias("hb"))
+    """Pairs (ha, hb) of the rows (key, side, k, letters, h) of which one is indexed and one probes, as a table; those whose letters alone tell that they are too far apart are not made."""
+    a, b = (rows.where(where).selectExpr("key", f"h AS {c}", f"side AS side_{c}", f"k AS k_{c}", f"letters AS letters_{c}") for c, where in (("a", "side % 2 = 1"), ("b", "side >= 2")))
+    # Two that both stand in the index and probe it meet twice.
+    met = a.join(b, "key").where("a != b AND (a < b OR side_a + side_b < 6) AND bit_count(letters_a ^ letters_b) <= 2 * least(k_a, k_b)")
+    return written(met.select(F.least("a", "b").alias("ha"), F.greatest("a", "b").alias("hb")).distinct(), "pairs")
 
 
 def _finer(rows: DataFrame) -> DataFrame:
     """Each problem's longest piece is cut again: rows for each segment, shift and side."""
     rows = rows.withColumn("j", F.expr("array_position(lens, array_max(lens)) - 1").cast("int"))
-    rows = rows.selectExpr("*", "pieces[j] AS piece", "lens[j] AS size", "delta[j] AS more", "k - aggregate(delta, 0, (a, x) -> a + abs(x)) + abs(delta[j]) AS own")
+    rows = rows.selectExpr("*", "pieces[j] AS piece", "lens[j] AS size", "delta[j] AS more", "budget[j] AS own")
     ways = "flatten(transform(sequence(0, own), i -> transform(filter(sequence(-own, own), o -> o BETWEEN greatest(-i, more - own + i) AND least(i, more + own - i)), o -> struct(i, o))))"
     rows = rows.withColumn("way", F.explode(F.expr(ways))).selectExpr("*", "way.i AS i", "way.o AS off")
     rows = rows.withColumn("role", F.explode(F.expr("CASE WHEN side = 3 AND off != 0 THEN array(1, 2) ELSE array(side) END")))
@@ -180,7 +154,8 @@ def _finer(rows: DataFrame) -> DataFrame:
     rows = rows.where("at >= 0 AND at + end - start <= char_length(piece)")
     return rows.selectExpr(
         "xxhash64(key, i, off, substr(piece, at + 1, end - start)) AS key", "role AS side", "k", "concat(slice(delta, 1, j), array(off, more - off), slice(delta, j + 2, size(delta))) AS delta",
-        "concat(slice(pieces, 1, j), array(substr(piece, 1, at), substr(piece, at + end - start + 1)), slice(pieces, j + 2, size(pieces))) AS pieces", "h", "o",
+        "concat(slice(budget, 1, j), array(i, own - i), slice(budget, j + 2, size(budget))) AS budget",
+        "concat(slice(pieces, 1, j), array(substr(piece, 1, at), substr(piece, at + end - start + 1)), slice(pieces, j + 2, size(pieces))) AS pieces", "letters", "h", "o",
     )
 
 
@@ -236,18 +211,23 @@ def similar_lines(lines: DataFrame, edits=EDITS) -> DataFrame:
     most = max([k for _, k in edits], default=0)
     if not most:
         return lines.select("h").limit(0)
-    keyed = lines.where(F.char_length("line") >= min(n for n, k in edits if k)).select(F.explode(_keys(F.col("line"), edits)).alias("k"), "h").select("k.key", "k.side", "h")
+    keyed = _segments(lines.select("h", "line"), edits).select("key", "side", "h")
     often = _shared(keyed, "segments")
     found = written(keyed.join(maybe_broadcast(often), "key"), "line-keys")
-    pairs = [_pairs(found.where("NOT crowd"))]
     # Only lines that share a segment with another go on.
     some = written(found.groupBy("h").agg(F.max("crowd").alias("crowd")), "sharing-lines")
-    texts = written(lines.join(maybe_broadcast(some), "h").select("h", "line", "d", "p", "crowd"), "line-texts")
+    texts = written(lines.join(maybe_broadcast(some), "h").select("h", "line", "d", "p", "crowd", allowed(F.char_length("line"), edits).alias("k"), _letters(F.col("line")).alias("letters")), "line-texts")
+    pairs = [_pairs(found.where("NOT crowd").join(maybe_broadcast(texts.select("h", "k", "letters")), "h"))]
     behind = []
     if not often.where("crowd").isEmpty():
-        problems = texts.where("crowd").select("h", F.struct("d", "p", "line").alias("o"), F.explode(_problems(F.col("line"), edits)).alias("x"))
-        problems = problems.select(F.col("x.key").alias("base"), "x.*", "h", "o").drop("key").withColumnRenamed("base", "key").join(often.where("crowd").select("key"), "key", "left_semi")
-        more, behind = _crowds(written(problems.select(F.col("sub").alias("key"), "side", "k", "delta", "pieces", "h", "o"), "problems"), most)
+        problems = _segments(texts.where("crowd").select("h", "line", "letters", F.struct("d", "p", "line").alias("o")), edits, index=True).join(often.where("crowd").select("key"), "key", "left_semi")
+        # What a key leaves of its lines: for both sides the two pieces, by how much longer the prober's are (delta), and the edits in each: of lines within k edits a segment i is alike
+        # before which there are i edits, the first with no more edits up to its end than segments before it.
+        budget = F.array(F.col("i"), F.col("k") - F.col("i")).alias("budget")
+        delta = F.array(F.col("off"), F.col("more") - F.col("off")).alias("delta")
+        pieces = F.array(F.substr("line", F.lit(1), F.col("start")), F.substr("line", F.col("end") + 1)).alias("pieces")
+        problems = written(problems.select(F.xxhash64("key", "more", "off").alias("key"), "side", "k", delta, budget, pieces, "letters", "h", "o"), "problems")
+        more, behind = _crowds(problems, most)
         pairs += more
     both = pairs[0]
     for x in pairs[1:]:
@@ -255,7 +235,7 @@ def similar_lines(lines: DataFrame, edits=EDITS) -> DataFrame:
     one, two = (texts.select(*[F.col(c).alias(f"{c}{i}") for c in ("h", "line", "d", "p")]) for i in (1, 2))
     both = both.distinct().join(one, F.col("ha") == F.col("h1")).join(two, F.col("hb") == F.col("h2"))
     limit = allowed(F.least(F.char_length("line1"), F.char_length("line2")), edits)
-    near = both.where(_agree(F.col("line1"), F.col("line2"), most, limit)).where(edits_within(F.col("line1"), F.col("line2"), most) <= limit)
+    near = both.where(edits_within(F.col("line1"), F.col("line2"), most) <= limit)
     order = [F.struct(*[F.col(f"{c}{i}").alias(c) for c in ("d", "p", "line", "h")]) for i in (1, 2)]
     out = near.select(F.greatest(*order)["h"].alias("h"))
     for x in behind:

@@ -375,6 +375,42 @@ def test_line_dedup_query_takes_two_edits_of_long_lines(spark, tmp_path):
     assert got == {0: 0, 1: 1, 2: 0, 3: 0, 4: 1}
 
 
+def test_edits_within_and_letters(spark):
+    """The automaton against brute force, and no pair within k edits has more than 2 k letters that differ; accents, characters beyond 16 bits and empty texts included."""
+    rng = random.Random(12)
+    base = ["".join(rng.choices("abé😀𝄞 Z0", k=n)) for n in (0, 1, 2, 5, 9, 30, 64, 65)]
+    pairs = [(damaged(rng, x, rng.randrange(5)) if len(x) > 4 else x, damaged(rng, x, rng.randrange(3)) if len(x) > 4 else y) for x in base for y in base[:4] for _ in range(6)]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    near = [line_dedup.edits_within(F.col("a"), F.col("b"), k).alias(f"k{k}") for k in (0, 1, 2, 3, 6)]
+    for r in df.select("a", "b", *near, F.bit_count(line_dedup._letters(F.col("a")).bitwiseXOR(line_dedup._letters(F.col("b")))).alias("letters")).collect():
+        d = edit_distance(r["a"], r["b"])
+        assert [r[f"k{k}"] for k in (0, 1, 2, 3, 6)] == [d if d <= k else None for k in (0, 1, 2, 3, 6)] and r["letters"] <= 2 * d, r
+
+
+def test_line_dedup_of_one_line_with_many_words_in_a_place(spark):
+    """Of lines that differ by a word alone, few pairs are made, no plan is long enough to weigh on the driver, and those that go are those of brute force."""
+    rng = random.Random(13)
+    start, end = ("".join(rng.choices("abcdefgh ", k=48)) for _ in range(2))
+    words = list(dict.fromkeys("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(5, 11))) for _ in range(180)))
+    words += [w for w in dict.fromkeys(damaged(rng, w, 2) for w in words[:40]) if w not in words]
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsList().size()
+    rows = [(i, f"{start} {w} {end}", None, None) for i, w in enumerate(words)]
+    got = {r["doc_id"] for r in line_dedup.dedup_lines(docs_of(spark, rows), ["doc_id"]).where("n_dropped = 1").collect()}
+    # What the lines have in common at both ends changes nothing about their distance.
+    assert got == {i for i, w in enumerate(words) if any(edit_distance(x, w) <= 2 for x in words[:i])} and len(got) > 20
+    made, runs = 0, store.executionsList()
+    for k in range(before, runs.size()):
+        run = runs.apply(k)
+        assert len(run.physicalPlanDescription()) < 100_000
+        values, nodes = store.executionMetrics(run.executionId()), store.planGraph(run.executionId()).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            for m in (node.metrics().apply(i) for i in range(node.metrics().size())):
+                if "Join" in node.name() and "[ha#" in node.desc() and m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    made = max(made, int(values.apply(m.accumulatorId()).replace(",", "")))
+    assert 0 < made < 2 * len(words), made
+
+
 def test_mixing(spark):
     rows = queries.op7_source_mixing(spark, SMALL).collect()
     source = {r["doc_id"]: (r["source"], r["text"]) for r in table(spark, SMALL, "documents").collect()}
