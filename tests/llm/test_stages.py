@@ -118,3 +118,15 @@ def test_every_stage_by_brute_force(spark, tmp_path):
     assert [r["mix_position"] for r in last] == sorted(r["mix_position"] for r in last)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_no_plan_of_line_dedup_is_long_enough_to_weigh_on_the_driver(spark):
+    """The driver keeps each plan, as a tree and as text, so one of hundreds of thousands of characters takes it beyond its memory after some runs."""
+    from tesserae.llm.common import table
+
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsList().size()
+    assert corpus_pipeline.dedup_lines(spark, table(spark, SMALL, "documents"), SMALL).count() > 0
+    runs = store.executionsList()
+    longest = max(len(runs.apply(k).physicalPlanDescription()) for k in range(before, runs.size()))
+    assert longest < 60_000, longest
