@@ -89,7 +89,11 @@ def run_query(spark: SparkSession, facts: FactSource, text: str, inputs: list[An
         raise InvalidQuery("pull is not tabular")
     aggregates = [registry.aggregate(f.name, col(f.var)).alias(f"{f.name}_{f.var}") for f in query.find if isinstance(f, Aggregate)]
     keys = list(dict.fromkeys(f.name if isinstance(f, Var) else f.var for f in query.find if not isinstance(f, Aggregate)))
-    if aggregates:
+    counts = [f for f in query.find if isinstance(f, Aggregate)]
+    ranked = Compiler(context).counted(query.where, keys, [f.var for f in counts]) if counts and all(f.name.lower() == "count" for f in counts) else None
+    if ranked is not None:
+        known = ranked.select(*[col(k) for k in keys], *[F.col(f"count{i}").alias(f"{f.name}_{f.var}") for i, f in enumerate(counts)])
+    elif aggregates:
         known = known.groupBy(*[col(k) for k in keys]).agg(*aggregates) if keys else known.agg(*aggregates)
     else:
         known = known.select(*[col(k) for k in keys])

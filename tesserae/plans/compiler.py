@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tesserae.errors import PlanError
 from tesserae.functions import registry
+from tesserae.operators import ranks
 from tesserae.sources.base import FactSource
 
 from .ast import Blank, Call, Clause, Const, DataSource, Keyword, Not, Or, Pattern, RuleCall, Term, Var, variables
@@ -103,6 +104,56 @@ class Compiler:
             known = join(known, near)
         return known.drop(*[c for c in known.columns if c.startswith("_exists")]) if known is not None and any(not c.startswith("_exists") for c in known.columns) else known
 
+    # Counts over an inequality between relations
+
+    def counted(self, clauses: tuple[Clause, ...], keys: list[str], names: list[str]) -> DataFrame | None:
+        """For each of keys, how many rows bind each of names, as count0, count1, ...: by rank, where all clauses are patterns and predicates and just one inequality stands between two sides.
+
+        One side has the keys; each hangs together by shared variables. None for other clauses, whose rows must be made to be counted.
+        """
+        flat = [x for c in clauses for x in (c if isinstance(c, tuple) else (c,))]
+        calls = [c for c in flat if isinstance(c, Call)]
+        if not any(c.name in ranks.FLIPPED for c in calls) or any(not isinstance(c, Pattern | Call) or isinstance(c, Call) and c.binding for c in flat):
+            return None
+        wanted = {v for c in flat for v in variables(c)}
+        relations = [*[i for i in self.context.inputs if wanted & set(i.columns)], *self._patterns([c for c in flat if isinstance(c, Pattern)])]
+        needs = {id(c): {v for v in variables(c.args) if v not in self.context.constants} for c in calls}
+        if any("_exists" in r.columns for r in relations):
+            return None
+        for c in calls:
+            if c.name not in ranks.FLIPPED or len(c.args) != 2 or len(needs[id(c)]) != 2:
+                continue
+            (a, b) = (t.name for t in c.args)
+            for x, op, y in ((a, c.name, b), (b, ranks.FLIPPED[c.name], a)):
+                for mine in ([r for r in relations if {x, *keys} & set(r.columns)], [r for r in relations if y not in r.columns]):
+                    theirs = [r for r in relations if not any(r is m for m in mine)]
+                    has, other = ({v for r in side for v in r.columns} for side in (mine, theirs))
+                    apart = x in has - other and y in other - has and {*keys} <= has and {*names} <= has | other
+                    if apart and all(needs[id(p)] <= has or needs[id(p)] <= other for p in calls if p is not c) and self._connected(mine) and self._connected(theirs):
+                        rest = [p for p in calls if p is not c]
+                        left = self._functions(self._joined(None, mine), [p for p in rest if needs[id(p)] <= has], [])
+                        right = self._functions(self._joined(None, theirs), [p for p in rest if not needs[id(p)] <= has], [])
+                        return self._ranked(left, right, x, op, y, keys, names)
+        return None
+
+    @staticmethod
+    def _connected(relations: list[DataFrame]) -> bool:
+        left, known = list(relations), set(relations[0].columns) if relations else set()
+        while near := [r for r in left if set(r.columns) & known]:
+            left = [r for r in left if not any(r is n for n in near)]
+            known |= {v for r in near for v in r.columns}
+        return bool(relations) and not left
+
+    def _ranked(self, mine: DataFrame, theirs: DataFrame, x: str, op: str, y: str, keys: list[str], names: list[str]) -> DataFrame | None:
+        kind = ranks.common_type(mine.schema[x].dataType, theirs.schema[y].dataType)
+        if kind is None:
+            return None
+        beyond = [v for v in dict.fromkeys(names) if v not in mine.columns]
+        rows = ranks.met(mine, theirs, [v for v in mine.columns if v in theirs.columns], x, op, y, beyond, kind)
+        each = [F.when(col(v).isNotNull(), F.col("_met")) if v in mine.columns else F.col(f"_met{beyond.index(v)}") for v in names]
+        sums = [F.coalesce(F.sum(e), F.lit(0)).cast("long").alias(f"count{i}") for i, e in enumerate(each)]
+        return rows.groupBy(*[col(k) for k in keys]).agg(*sums)
+
     # Data patterns
 
     def _patterns(self, patterns: list[Pattern]) -> list[DataFrame]:

@@ -1,12 +1,16 @@
 """Scenarios over a log: time travel, history, logic, rules, pull, transactions, the store's safety, plans."""
 
 import json
+import math
 import random
 import uuid
+from collections import Counter
 from dataclasses import replace
 
 import pytest
+from pyspark.sql import functions as F
 
+from tesserae import queries
 from tesserae.config import Settings
 from tesserae.database import Database, WideDatabase
 from tesserae.errors import CompareAndSwapFailed, InvalidQuery, ParseError, PlanError, SerializationError, Superseded, TypeMismatch, UndefinedAttribute, UniqueConstraintViolation
@@ -19,6 +23,8 @@ from tesserae.sources.wide import WideTable
 from tesserae.sources.wire import wire_frame
 from tesserae.streaming.ingest import ingest
 
+from .oracle import SMALL
+
 
 @pytest.fixture
 def db(spark, tmp_path):
@@ -320,3 +326,40 @@ def test_approximate_counts(spark):
     got = queries.queries()["a_approx_distinct"](spark, "/root/testdata/sf0.01").first()[0]
     exact = spark.read.parquet("/root/testdata/sf0.01/orders.parquet").select("o_custkey").distinct().count()
     assert abs(got - exact) <= 0.15 * exact
+
+
+COUNTED = "[:find %s (count ?c) (count ?a) :where [?s :left/group ?n] [?s :left/value ?a] [?c :right/group ?n] [?c :right/value ?b] %s]"
+
+
+@pytest.mark.parametrize("op, kind", [("<", "double"), ("<=", "double"), (">", "timestamp"), (">=", "string")])
+def test_counts_over_an_inequality_make_no_pairs(spark, op, kind):
+    """Each form of the query against pairs in Python; then the plan, which joins groups with ranges only."""
+    draw = random.Random(f"{op} {kind}")
+    odd = [0.0, -0.0, float("inf"), float("-inf"), float("nan"), 1e300, -1e300, None]
+    value = lambda: draw.choice([None, *map(float, range(-9, 9)), *(odd if kind == "double" and draw.random() < 0.2 else [])])
+    rows = {t: [(i, draw.choice([None, 1, 1, 2, 3, 4]), value()) for i in range(n)] for t, n in (("left", 60), ("right", 150))}
+    rows["left"] += [(90, 7, 1.0)]
+    rows["right"] += [(900 + i, 8, 1.0) for i in range(3)]
+    tables = []
+    for t, own in rows.items():
+        frame = spark.createDataFrame(own, "k long, g long, v double").coalesce(1).withColumn("v", F.col("v") if kind == "double" else F.col("v").cast("long").cast(kind))
+        tables.append(WideTable(t, frame, F.col("k"), {f":{t}/group": F.col("g"), f":{t}/value": F.col("v")}))
+    db = WideDatabase(spark, tables)
+    rank = lambda v: (str(int(v)),) if kind == "string" else (math.isnan(v), 0.0 if math.isnan(v) else v)
+    holds = {"<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}[op]
+    known = {t: [(k, g, rank(v)) for k, g, v in own if g is not None and v is not None] for t, own in rows.items()}
+    pairs = [(s, g, c) for s, g, a in known["left"] for c, h, b in known["right"] if g == h and holds(a, b)]
+    for find, of in (("?s", lambda p: (p[0],)), ("?n ?c", lambda p: (p[1], p[2])), ("", lambda p: ()), ("?s ?c", lambda p: (p[0], p[2]))):
+        want = Counter(map(of, pairs))
+        got = db.query(COUNTED % (find, f"[({op} ?a ?b)]"))
+        assert values(got) == sorted((*k, n, n) for k, n in want.items()), find
+        assert ("_range" in plan(got)) == (find != "?s ?c")
+    # Predicates of one side, and more than one inequality between the sides.
+    want = Counter(s for s, g, c in pairs if g > 1 and s < 40 and c > 9)
+    assert values(db.query(COUNTED % ("?s", f"[({op} ?a ?b)] [(> ?n 1)] [(< ?s 40)] [(> ?c 9)]"))) == sorted((s, n, n) for s, n in want.items())
+    want = Counter(s for s, g, c in pairs if s < c)
+    assert values(db.query(COUNTED % ("?s", f"[({op} ?a ?b)] [(< ?s ?c)]"))) == sorted((s, n, n) for s, n in want.items())
+    # Without shared variables all is one group.
+    every = Counter(s for s, g, a in known["left"] for c, h, b in known["right"] if holds(a, b))
+    assert values(db.query((COUNTED % ("?s", f"[({op} ?a ?b)]")).replace("[?c :right/group ?n]", "[?c :right/group ?m]"))) == sorted((s, n, n) for s, n in every.items())
+    assert "_range" in plan(queries.queries()["d_pred_cross_relation"](spark, SMALL))
